@@ -63,10 +63,10 @@ def maybe_broadcast(small: DataFrame, rows: int, limit: int = BROADCAST_ROWS) ->
 # Cutting a text where no pre-token can span --------------------------------------------------------------------------
 
 #: White space of any reading: what Python, Rust and Oniguruma take as \s, and the four separators on which they differ.
-_WS = "\t-\r\x1c-\x20\x85\xa0  -     　"
+_WS = "\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _BEFORE_BLANK = re.compile(f"[{_WS}] ")
 #: The same without the four separators: a cut must be made only before what every reading takes as white space.
-_SURE = "\t-\r \x85\xa0  -     　"
+_SURE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECES = re.compile(f"[{_SURE}]*[^{_SURE}]+|[{_SURE}]+")
 
 
