@@ -1,0 +1,51 @@
+"""Durable history: identities, which revision counts, minute rollups and their signed updates, forgetting."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import safe
+
+MEASURES = ("input", "output", "cache_read", "cache_write", "reasoning", "cost_nanos", "message_count")
+KEYS = ("client", "provider", "model", "cost_source")
+
+
+def identify(usage: DataFrame) -> DataFrame:
+    """Adds fact_id: from the durable key where there is one, else from the facts themselves."""
+    facts = safe.identity(*(F.col(c) for c in ("client", "provider", "model", "session_id", "ts_ms", "input", "output", "cache_read", "cache_write", "reasoning")))
+    durable = safe.identity(F.lit("key"), F.col("client"), F.col("dedup_key"))
+    return usage.withColumn("fact_id", F.when(F.col("dedup_key").isNotNull(), durable).otherwise(facts))
+
+
+def canonical(revisions: DataFrame, most: int = 4) -> DataFrame:
+    """Of each identity at most so many revisions, the one that counts first: reported costs, then the oldest."""
+    w = Window.partitionBy("client", F.coalesce("dedup_key", F.concat(F.lit("\0"), F.col("event_id").cast("string")))).orderBy((F.col("cost_source") == "reported").desc(), "event_id")
+    return revisions.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+
+
+def rollup(priced: DataFrame, step_ms: int = 60_000) -> DataFrame:
+    """Sums by minute and for all time (period 1 and 0), with the number of events; a row feeds both periods once."""
+    both = priced.withColumn("period", F.explode(F.array(F.lit(0), F.lit(1))))
+    bucket = F.when(F.col("period") == 1, safe.floor_div(F.col("ts_ms"), step_ms) * step_ms).otherwise(F.lit(0)).alias("bucket_ms")
+    return both.groupBy("period", bucket, *KEYS).agg(*(safe.sat_sum(F.col(c)).alias(c) for c in MEASURES), F.count(F.lit(1)).alias("events"))
+
+
+def apply_changes(rollups: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """rollups less those of the rows before a change, plus those after it; rows without events go."""
+    minus = rollup(before).withColumns({c: -F.col(c) for c in (*MEASURES, "events")})
+    keys = ["period", "bucket_ms", *KEYS]
+    whole = rollups.unionByName(minus).unionByName(rollup(after))
+    return whole.groupBy(*keys).agg(*(F.sum(c).cast("long").alias(c) for c in (*MEASURES, "events"))).where("events <> 0")
+
+
+def merge(stored: DataFrame, fresh: DataFrame, key: str = "fact_id", order: str = "event_id") -> DataFrame:
+    """stored with fresh rows in place of those of the same identity: replays change nothing."""
+    w = Window.partitionBy(key).orderBy(F.col(order).desc())
+    newest = fresh.withColumn("n__", F.row_number().over(w)).where("n__ = 1").drop("n__")
+    return stored.join(newest, key, "left_anti").unionByName(newest.select(*stored.columns))
+
+
+def not_seen(sources: DataFrame, checkpoints: DataFrame) -> DataFrame:
+    """Sources whose (source, revision) isn't checkpointed as complete."""
+    return sources.join(checkpoints.where("complete"), ["source", "revision"], "left_anti")
