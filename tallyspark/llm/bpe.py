@@ -92,7 +92,7 @@ class Codec:
                 ids.append(self.ranks[raw])
             else:
                 ids += self.model.EncodeAsIds(raw.decode("latin-1").translate(self.chars))
-        return np.array(ids, dtype="<u4").tobytes()
+        return common.u32(ids)
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(self.cache.of(text), dtype="<u4")
@@ -117,6 +117,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
 
     def run(batches):
         codec = _codec(packed.value, pattern)
+        common.claim("bpe", codec.cache.release)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

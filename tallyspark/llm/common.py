@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import sys
 import tempfile
 import uuid
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -70,37 +72,65 @@ _SURE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECES = re.compile(f"[{_SURE}]*[^{_SURE}]+|[{_SURE}]+")
 
 
+def u32(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    found = array("I", ids)
+    if sys.byteorder == "big":
+        found.byteswap()
+    return found.tobytes()
+
+
+_claimed: list = [None, None]
+
+
+def claim(owner: str, release) -> None:
+    """A worker keeps the caches of one operator at a time: the one before is told to let go of its own."""
+    if _claimed[0] != owner:
+        if _claimed[1] is not None:
+            _claimed[1]()
+        _claimed[:] = [owner, release]
+
+
 class PieceCache(dict):
     """Value of each piece of text, computed once per worker for each distinct piece.
 
     Pre-tokens hold white space at their start only, so a text may be cut before any white space that follows
     something else, and between a letter and a comma or stop; the value of a text (ids, bytes) is the concatenation of its pieces' values. ``compute`` gets one
     piece. Keys are pieces without their leading blank in ``self`` and whole pieces in ``self.plain``. The cache is
-    emptied at ``limit`` entries, which bounds its memory.
+    in two generations of at most ``limit`` entries each, which bounds its memory: what is used again outlives the older.
     """
 
-    def __init__(self, compute, limit: int = 600_000):
+    def __init__(self, compute, limit: int = 250_000):
         super().__init__()
         self.compute, self.limit = compute, limit
-        self.plain: dict[str, object] = {}
+        self.plain: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def release(self) -> None:
+        for held in (self, self.plain, self.older):
+            held.clear()
 
-    def whole(self, piece: str):
+    def whole(self, piece: str) -> bytes:
         found = self.plain.get(piece)
         if found is None:
-            if len(self.plain) >= self.limit:
+            if len(self.plain) >= self.limit // 8:
                 self.plain.clear()
             found = self.plain[piece] = self.compute(piece)
         return found
 
-    def __missing__(self, part: str):
-        if len(part) > 1 and part[-1] in ",." and part[-2].isalpha():
-            return self[part[:-1]] + self.whole(part[-1])
-        pieces = _PIECES.findall(" " + part)
-        if len(pieces) > 1:  # each line's end is a piece of its own, and such parts rarely come again
-            head = pieces[0]
-            return (self[head[1:]] if head[0] == " " and head[1:] != part else self.whole(head)) + b"".join(map(self.whole, pieces[1:]))
-        value = self.compute(" " + part)
+    def __missing__(self, part: str) -> bytes:
+        value = self.older.pop(part, None)
+        if value is None:
+            if len(part) > 1 and part[-1] in ",." and part[-2].isalpha():
+                value = self[part[:-1]] + self.whole(part[-1])
+            else:
+                pieces = _PIECES.findall(" " + part)
+                if len(pieces) > 1:  # each line's end is a piece of its own, and such parts rarely come again
+                    head = pieces[0]
+                    return (self[head[1:]] if head[0] == " " and head[1:] != part else self.whole(head)) + b"".join(map(self.whole, pieces[1:]))
+                value = self.compute(" " + part)
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
         self[part] = value
         return value

@@ -31,7 +31,7 @@ def _tokenizer(json: str):
 
     found = tokenizers.Tokenizer.from_str(json)
     found.encode_special_tokens = True
-    return common.PieceCache(lambda piece: np.array(found.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes())
+    return common.PieceCache(lambda piece: common.u32(found.encode(piece, add_special_tokens=False).ids))
 
 
 @lru_cache(maxsize=2)
@@ -85,6 +85,8 @@ def write_token_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     def encode(batches):
         import zstandard
 
+        common.claim("token_store", _tokenizer(told.value).release)
+
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary.value))
         for batch in batches:
             for at in range(0, batch.num_rows, 512):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: The classifier is fitted on at most so many labelled rows, those with the smallest hashed ids.
-SAMPLE = 12_000
+SAMPLE = 6_000
 #: A feature takes part if so many toxic rows of the sample have it and its chi-squared is so high; at most so many do.
 LEAST, CHI2, FEATURES = 3, 15.0, 20_000
 BEGINNINGS = (4, 5, 6)
@@ -58,7 +58,7 @@ class Model:
         weights, bias = self.weights, self.bias
 
         def of(part: str) -> tuple:
-            if len(seen) > 500_000:
+            if len(seen) > 150_000:
                 seen.clear()
             found = seen[part] = tuple({f for w in ((part,) if part.isalpha() else _WORD.findall(part)) for f in features_of(w) if f in weights})
             return found
@@ -79,7 +79,7 @@ def counterfactuals(words: set[str], groups: tuple = IDENTITY_TERMS) -> list[set
     return [words - {w} | {group[(i + 1) % len(group)]} for group in groups for i, w in enumerate(group) if w in words]
 
 
-def fit(rows: list[tuple[set[str], int]], groups: tuple = IDENTITY_TERMS, counterfactual: float = COUNTERFACTUAL) -> Model:
+def fit(rows: list[tuple[tuple[str, ...], int]], groups: tuple = IDENTITY_TERMS, counterfactual: float = COUNTERFACTUAL) -> Model:
     """Logistic regression on presence of features, with a penalty on squared changes of score (log-odds) between a
     labelled row and its counterfactuals. Without both labels: a constant score of the labels' share."""
     labels = np.array([y for _, y in rows], dtype=np.float64)
@@ -113,7 +113,7 @@ def fit(rows: list[tuple[set[str], int]], groups: tuple = IDENTITY_TERMS, counte
         return np.repeat(np.arange(len(found)), [len(x) for x in found]), np.array([i for x in found for i in x], dtype=np.int64)
 
     row, column = matrix([w for w, _ in rows])
-    swaps = [(words, other) for words, _ in rows for other in counterfactuals(words, groups)]
+    swaps = [(words, other) for words, _ in rows for other in counterfactuals(set(words), groups)]
     row_a, column_a = matrix([a for a, _ in swaps])
     row_b, column_b = matrix([b for _, b in swaps])
     k = len(chosen)
@@ -153,7 +153,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), pa.array([" ".join(sorted(words_of(x))) for x in batch.column("text").to_pylist()], pa.string())], ["id", "toxic", "words"])
 
     found = rows.select(F.col("id__").alias("id"), F.col("toxic__").cast("int").alias("toxic"), "text").mapInArrow(run, "id long, toxic int, words string")
-    return fit(sorted(((set(r["words"].split()), r["toxic"]) for r in found.limit(2 * sample).toLocalIterator()), key=lambda x: (x[1], len(x[0]), sorted(x[0])[:20])), **options)
+    # words are shared between rows: the sample takes some 10 KB a row on the driver
+    known_words: dict[str, str] = {}
+    kept = [(tuple(known_words.setdefault(w, w) for w in r["words"].split()), r["toxic"]) for r in found.limit(2 * sample).toLocalIterator()]
+    return fit(sorted(kept, key=lambda x: (x[1], len(x[0]), x[0][:20])), **options)
 
 
 _scorers: dict[str, object] = {}
@@ -164,6 +167,7 @@ def _scorer(name: str, held):
     if name not in _scorers:
         _scorers.clear()
         _scorers[name] = held.value.scorer()
+    common.claim("toxicity", _scorers.clear)
     return _scorers[name]
 
 
