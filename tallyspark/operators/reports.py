@@ -56,13 +56,13 @@ def by_model(priced: DataFrame, group: str) -> DataFrame:
         F.coalesce(F.sum(F.when(timed, F.col("duration_ms"))), F.lit(0)).cast("long").alias("timed_ms"),
         F.coalesce(F.sum(F.when(timed, total())), F.lit(0)).cast("long").alias("timed_tokens"),
     )
-    return own.withColumn("ms_per_1k", F.when(F.col("timed_tokens") > 0, F.round(F.col("timed_ms") * 1000.0 / F.col("timed_tokens"), 6)))
+    return own.withColumn("ms_per_1k", F.when(F.col("timed_tokens") > 0, F.col("timed_ms") * 1000.0 / F.col("timed_tokens")))
 
 
 def performance(priced: DataFrame) -> DataFrame:
     timed = (F.coalesce(F.col("duration_ms"), F.lit(0)) > 0) & (total() > 0)
     own = priced.groupBy("model").agg(F.count(F.when(timed, 1)).alias("timed"), F.count(F.lit(1)).alias("rows"), F.sum(F.when(timed, F.col("duration_ms"))).cast("long").alias("ms"), F.sum(F.when(timed, total())).cast("long").alias("tokens"))
-    return own.select("model", "timed", F.round(F.least(F.lit(1.0), F.col("timed") / F.col("rows")), 6).alias("coverage"), F.round(F.col("ms") * 1000.0 / F.col("tokens"), 6).alias("ms_per_1k"))
+    return own.select("model", "timed", F.least(F.lit(1.0), F.col("timed") / F.col("rows")).alias("coverage"), (F.col("ms") * 1000.0 / F.col("tokens")).alias("ms_per_1k"))
 
 
 def sessions(priced: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ def summary(priced: DataFrame) -> DataFrame:
     active = (F.col("tokens") > 0) | (F.col("cost") > 0) | (F.col("messages") > 0)
     whole = days.agg(safe.sat_sum(F.col("tokens")).alias("tokens"), safe.sat_sum(F.col("cost")).alias("cost_nanos"), F.count(F.when(active, 1)).alias("active_days"), F.coalesce(F.max("cost"), F.lit(0)).alias("max_day_nanos"))
     seen = priced.agg(safe.sorted_text(F.col("client")).alias("clients"), safe.sorted_text(F.col("model")).alias("models"))
-    mean = F.when(F.col("active_days") > 0, F.round(F.col("cost_nanos") / F.col("active_days"), 3)).otherwise(0.0)
+    mean = F.when(F.col("active_days") > 0, F.col("cost_nanos") / F.col("active_days")).otherwise(0.0)
     return whole.withColumn("mean_nanos", mean).crossJoin(F.broadcast(seen))  # one row by one row
 
 

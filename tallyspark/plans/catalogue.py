@@ -122,7 +122,7 @@ for _group, _keys in reports.GROUPS.items():
         f"model_usage_{_group}",
         over(priced, reports.by_model, _group),
         f"WITH {PRICED} SELECT {', '.join(_keys)}, {_SUMS}, {_LIST.format('provider', 'providers')}, CAST(coalesce(sum(duration_ms) FILTER ({_TIMED}), 0) AS BIGINT) AS timed_ms, CAST(coalesce(sum(tokens) FILTER ({_TIMED}), 0) AS BIGINT) AS timed_tokens,"
-        f" CASE WHEN sum(tokens) FILTER ({_TIMED}) > 0 THEN round(sum(duration_ms) FILTER ({_TIMED}) * 1000.0::DOUBLE / sum(tokens) FILTER ({_TIMED}), 6) END AS ms_per_1k FROM priced GROUP BY {', '.join(_keys)}",
+        f" CASE WHEN sum(tokens) FILTER ({_TIMED}) > 0 THEN CAST(sum(duration_ms) FILTER ({_TIMED}) AS DOUBLE) * 1000.0::DOUBLE / CAST(sum(tokens) FILTER ({_TIMED}) AS DOUBLE) END AS ms_per_1k FROM priced GROUP BY {', '.join(_keys)}",
     )
 add("session_usage", over(priced, reports.sessions), f"WITH {PRICED} SELECT session_id, {_SUMS}, min(ts_ms // 1000) AS first_seen, max(ts_ms // 1000) AS last_seen, {_LIST.format('client', 'clients')} FROM priced GROUP BY session_id")
 add("session_top_client", over(priced, reports.session_top), f"WITH {PRICED}, g AS (SELECT session_id, client, provider, model, CAST(sum(cost_nanos) AS BIGINT) AS cost_nanos FROM priced GROUP BY ALL) SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY cost_nanos DESC, client, provider, model) = 1")
@@ -131,14 +131,14 @@ add(
     "data_summary",
     over(priced, reports.summary),
     f"WITH {PRICED}, d AS (SELECT date, sum(tokens) AS t, sum(cost_nanos) AS c, sum(message_count) AS m FROM priced GROUP BY date) SELECT CAST(sum(t) AS BIGINT) AS tokens, CAST(sum(c) AS BIGINT) AS cost_nanos, count(*) FILTER (t > 0 OR c > 0 OR m > 0) AS active_days,"
-    f" CAST(max(c) AS BIGINT) AS max_day_nanos, round(CAST(sum(c) AS DOUBLE) / count(*) FILTER (t > 0 OR c > 0 OR m > 0), 3) AS mean_nanos, (SELECT {_LIST.format('client', 'x')} FROM priced) AS clients, (SELECT {_LIST.format('model', 'x')} FROM priced) AS models FROM d",
+    f" CAST(max(c) AS BIGINT) AS max_day_nanos, CAST(sum(c) AS DOUBLE) / count(*) FILTER (t > 0 OR c > 0 OR m > 0) AS mean_nanos, (SELECT {_LIST.format('client', 'x')} FROM priced) AS clients, (SELECT {_LIST.format('model', 'x')} FROM priced) AS models FROM d",
 )
 add(
     "daily_intensity",
     over(priced, reports.intensity),
     f"WITH {PRICED}, d AS (SELECT date, CAST(sum(cost_nanos) AS BIGINT) AS cost_nanos FROM priced GROUP BY date) SELECT *, CAST(CASE WHEN cost_nanos * 4 >= 3 * max(cost_nanos) OVER () THEN 4 WHEN cost_nanos * 2 >= max(cost_nanos) OVER () THEN 3 WHEN cost_nanos * 4 >= max(cost_nanos) OVER () THEN 2 WHEN cost_nanos > 0 THEN 1 ELSE 0 END AS INTEGER) AS intensity FROM d",
 )
-add("model_performance", over(priced, reports.performance), f"WITH {PRICED} SELECT model, count(*) FILTER ({_TIMED}) AS timed, round(least(1.0, CAST(count(*) FILTER ({_TIMED}) AS DOUBLE) / count(*)), 6) AS coverage, round(sum(duration_ms) FILTER ({_TIMED}) * 1000.0::DOUBLE / sum(tokens) FILTER ({_TIMED}), 6) AS ms_per_1k FROM priced GROUP BY model")
+add("model_performance", over(priced, reports.performance), f"WITH {PRICED} SELECT model, count(*) FILTER ({_TIMED}) AS timed, least(1.0::DOUBLE, CAST(count(*) FILTER ({_TIMED}) AS DOUBLE) / count(*)) AS coverage, CAST(sum(duration_ms) FILTER ({_TIMED}) AS DOUBLE) * 1000.0::DOUBLE / CAST(sum(tokens) FILTER ({_TIMED}) AS DOUBLE) AS ms_per_1k FROM priced GROUP BY model")
 add(
     "cost_coverage",
     over(priced, reports.coverage),
@@ -254,7 +254,7 @@ add(
     f"WITH {USAGE} SELECT event_id, {_NORMAL}[event_id % 8 + 1] AS model, {_INFERRED}[event_id % 8 + 1] AS provider, split_part(workspace, '/', 4) AS label, CASE WHEN input >= 1000 THEN printf('%.1f', input / 1000.0) || 'k' ELSE CAST(input AS VARCHAR) END AS tokens, CAST(ceil(length({SPELLINGS}[event_id % 8 + 1]) / 4.0) AS BIGINT) AS guess FROM usage",
 )
 add("provider_canonical", over(usage, lambda u: u.select("event_id", names.provider_canonical(F.concat(F.lit(" /"), F.upper("provider"), F.lit("/ "))).alias("provider"))), f"WITH {USAGE} SELECT event_id, provider FROM usage")
-add("cost_per_million", over(priced, lambda p: p.select("event_id", F.round(names.cost_per_million(F.col("cost_nanos") / 1e9, F.col("input")), 6).alias("rate"))), f"WITH {PRICED} SELECT event_id, CASE WHEN input > 0 THEN round(CAST(cost_nanos AS DOUBLE) / 1e9 * 1e6 / input, 6) END AS rate FROM priced")
+add("cost_per_million", over(priced, lambda p: p.select("event_id", names.cost_per_million(F.col("cost_nanos") / 1e9, F.col("input")).alias("rate"))), f"WITH {PRICED} SELECT event_id, CASE WHEN input > 0 THEN CAST(cost_nanos AS DOUBLE) / 1e9 * 1e6 / input END AS rate FROM priced")
 add("first_user_message", lambda spark, sf: bridge.table(spark, sf, "conversations").where("role = 'user'").groupBy("conv_id").agg(names.shortened(F.min_by("text", "turn"), 100).alias("first")), "SELECT conv_id, CASE WHEN length(t) > 100 THEN substr(t, 1, 100) || '...' ELSE t END AS first FROM (SELECT conv_id, arg_min(text, turn) AS t FROM conversations WHERE role = 'user' GROUP BY conv_id)")
 
 
