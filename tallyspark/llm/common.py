@@ -19,7 +19,16 @@ _own_folders: dict[str, str] = {}
 BROADCAST_ROWS = 50_000
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Python workers get texts in batches of at most so many rows: the default of 10,000 takes a gigabyte of long texts.
+    A session with a smaller setting keeps it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,6 +50,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write df once in the shared folder and read it back: its lineage ends there and a lost executor costs nothing."""
     spark = df.sparkSession
+    small_batches(spark)
     path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
