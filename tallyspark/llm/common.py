@@ -131,7 +131,9 @@ class PieceCache(dict):
     def __missing__(self, part: str) -> bytes:
         value = self.older.pop(part, None)
         if value is None:
-            if len(part) > 1 and part[-1] in ",." and part[-2].isalpha():
+            if part.isalpha():
+                value = self.compute(" " + part)
+            elif len(part) > 1 and part[-1] in ",." and part[-2].isalpha():
                 value = self[part[:-1]] + self.whole(part[-1])
             else:
                 pieces = _PIECES.findall(" " + part)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
+from .bpe import byte_map
 
 #: The dictionary is trained on at most so many documents (those with the smallest hashed ids), each of at most so many bytes of ids.
 SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 512, 16_384, 65_536
@@ -25,13 +26,37 @@ LEVEL = 3
 INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("length", "<u4"), ("n_tokens", "<u4")])
 
 
+#: A blank and letters below this code point are one pre-token in every Unicode version.
+_LATIN = "\u0250"
+
+
+def _splits_at_blanks(tokenizer) -> bool:
+    """Whether a blank and Latin letters are one pre-token, whose byte characters go to the merges as they are."""
+    probe = " \u00e9tait Stra\u00dfe"
+    if tokenizer.normalizer is not None or tokenizer.post_processor is not None or tokenizer.pre_tokenizer is None:
+        return False
+    words = ["".join(byte_map()[b] for b in x.encode()) for x in (" \u00e9tait", " Stra\u00dfe")]
+    return [x for x, _ in tokenizer.pre_tokenizer.pre_tokenize_str(probe)] == words
+
+
 @lru_cache(maxsize=2)
 def _tokenizer(json: str):
     import tokenizers
 
     found = tokenizers.Tokenizer.from_str(json)
     found.encode_special_tokens = True
-    return common.PieceCache(lambda piece: common.u32(found.encode(piece, add_special_tokens=False).ids))
+    whole = lambda piece: common.u32(found.encode(piece, add_special_tokens=False).ids)
+    if not _splits_at_blanks(found):
+        return common.PieceCache(whole)
+    chars, merge = byte_map(), found.model.tokenize
+
+    def of(piece: str) -> bytes:
+        word = piece[1:]
+        if piece[0] == " " and word.isalpha() and max(word) < _LATIN:
+            return common.u32([x.id for x in merge(piece.encode().decode("latin-1").translate(chars))])
+        return whole(piece)
+
+    return common.PieceCache(of)
 
 
 @lru_cache(maxsize=2)

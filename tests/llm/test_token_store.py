@@ -55,3 +55,19 @@ def test_trained_dictionary_serves_short_documents():
     samples = encode([f"the quick brown fox number {i} jumps over the lazy dog {i * 7}" for i in range(400)])
     raw = token_store.train_dictionary([x.astype("<u2").tobytes() for x in samples])
     assert raw and len(token_store.dictionary_hash(raw)) == 64
+
+
+def test_words_go_to_the_merges_as_the_library_splits_them():
+    t = tokenizers.Tokenizer.from_file(PATH)
+    assert token_store._splits_at_blanks(t)
+    own = token_store._tokenizer(t.to_str())
+    for text in (" ªº µ ǅ ʰ́ 𝒳 x́", "don't I'LL 's", " <|endoftext|> a<|endoftext|>b", " İ ı ſ ẞ Straße,", "中文 字 ɐ", "a  b\n c", ""):
+        assert np.array_equal(np.append(np.frombuffer(own.of(text), "<u4"), 0), encode([text])[0]), text
+
+
+def test_other_tokenizers_are_not_taken_apart():
+    t = tokenizers.Tokenizer.from_file(PATH)
+    t.normalizer = tokenizers.normalizers.Lowercase()
+    assert not token_store._splits_at_blanks(t)
+    own = token_store._tokenizer(t.to_str())
+    assert np.frombuffer(own.of("a Word"), "<u4").tolist() == t.encode("a Word", add_special_tokens=False).ids
