@@ -18,6 +18,8 @@ TREES, LEAF, SPILL = 8, 192, 0.06
 SAMPLE, DEPTH = 20_000, 12
 #: Leaves with more rows are compared in pairs of parts of about that size, in tasks of their own.
 LEAF_ROWS = 2048
+#: A vector is in a dense group if it links with more of the sample than a leaf holds, and with so many at least.
+DENSE = 8
 SEED = 20240917
 
 
@@ -57,10 +59,14 @@ class Forest:
             yield row, t, node
 
 
+def _depth(sample: int, rows: int, leaf: int) -> int:
+    return int(max(0, min(DEPTH, np.ceil(np.log2(max(1, rows) / leaf)), np.log2(max(1, sample)) - 3)))
+
+
 def fit_forest(unit: np.ndarray, rows: int, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, seed: int = SEED) -> Forest:
     """Random splits at the median of a sample, recursively, to leaves of about leaf of all rows."""
     rng = np.random.default_rng(seed)
-    depth = int(max(0, min(DEPTH, np.ceil(np.log2(max(1, rows) / leaf)), np.log2(max(1, len(unit))) - 3)))
+    depth = _depth(len(unit), rows, leaf)
     directions, cuts = rng.standard_normal((trees, unit.shape[1], max(1, depth))), []
     for t in range(trees):
         shadow, node, levels = unit @ directions[t], np.zeros(len(unit), np.int64), []
@@ -125,6 +131,129 @@ def _leaf_links(similarity: float):
     return run
 
 
+def dense_centres(unit: np.ndarray, rows: int, similarity: float, leaf: int = LEAF) -> np.ndarray:
+    """Vectors of a sample, each linked with more of the sample than a leaf holds, and not with an earlier one.
+
+    A split would fall inside such a group and part linked vectors. What is linked with no centre has fewer links than
+    that among its like. There are at most about as many centres as leaves.
+    """
+    x = unit.astype(np.float32)
+    least = max(DENSE, len(x) / 2 ** _depth(len(x), rows, leaf))
+
+    def links(these: np.ndarray, with_: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.int64), *(np.count_nonzero(these[at : at + 512] @ with_.T >= similarity, axis=1) for at in range(0, len(these), 512))])
+
+    centres, left = [], np.arange(len(x))
+    counts = links(x, x)
+    while len(left) and counts.max() > least:
+        k = int(counts.argmax())
+        centres.append(left[k])
+        ball = x[left] @ x[left[k]] >= similarity
+        ball[k] = True
+        counts = counts[~ball] - links(x[left[~ball]], x[left[ball]])
+        left = left[~ball]
+    return unit[centres]
+
+
+def _homes(told, similarity: float):
+    """The nearest centre that each vector links with (home, -1 if none), and the others' cells where it is a guest.
+
+    Whatever links with a vector at home is within twice the link angle of that centre, so it is at home there or a
+    guest. Of two vectors at home in different cells only the one of the later cell is a guest of the other: each pair
+    meets in one cell.
+    """
+    reach = 2 * similarity * similarity - 1 - 1e-9 if similarity > 0 else -2.0
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                whole = _matrix(part.column("key").to_pylist())
+                near = whole / np.linalg.norm(whole, axis=1, keepdims=True) @ told.value.T
+                home = np.where(near.max(1) >= similarity, near.argmax(1), -1)
+                guest = (near >= reach) & ((home < 0)[:, None] | (np.arange(near.shape[1]) < home[:, None]))
+                ends = np.r_[0, np.cumsum(guest.sum(1))].astype(np.int32)
+                cells = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.nonzero(guest)[1].astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(k) for k in ("node", "key", "copies")] + [pa.array(home.astype(np.int64)), cells], ["node", "key", "copies", "home", "guest"])
+
+    return run
+
+
+def _dense_pairs(part: np.ndarray, home: np.ndarray, node: np.ndarray, keys: list, copies: np.ndarray, similarity: float):
+    """Of two parts of a cell (or one): each vector's linked copies on the other side, and links that join the same nodes."""
+    whole = _matrix(keys)
+    norm = np.linalg.norm(whole, axis=1)
+    unit, linked = whole / norm[:, None], np.zeros((len(whole), len(whole)), bool)
+    apart = part[0] != part[-1]
+    for at in range(0, len(unit), 512):
+        here = slice(at, at + 512)
+        cosine = unit[here] @ unit.T
+        good = (cosine >= similarity) & (home[here, None] | home)
+        i, j = np.nonzero(np.abs(cosine - similarity) <= 1e-9)
+        a, b = whole[i + at], whole[j]
+        good[i, j] = (np.einsum("ij,ij->i", a, b) / (norm[i + at] * norm[j]) >= similarity) & (home[i + at] | home[j])
+        linked[here] = good & (part[here, None] != part) if apart else good
+    np.fill_diagonal(linked, False)
+    more = linked.sum(1) if (copies == 1).all() else np.concatenate([linked[at : at + 512] @ copies for at in range(0, len(unit), 512)])
+    root, todo = np.arange(len(node)), more > 0
+    for k in np.argsort(node):
+        if not todo[k]:
+            continue
+        todo[k], edge = False, np.array([k])
+        while len(edge):
+            edge = np.flatnonzero(linked[edge].any(0) & todo)
+            todo[edge], root[edge] = False, k
+    child = np.flatnonzero(root != np.arange(len(node)))
+    own = np.flatnonzero(more)
+    return np.r_[node[own], node[root[child]]], np.r_[np.full(len(own), -1), node[child]], np.r_[more[own], np.zeros(len(child), np.int64)], np.arange(len(own) + len(child)) < len(own)
+
+
+def _dense_links(similarity: float):
+    def run(batches):
+        held: list[pa.Table] = []
+
+        def done():
+            table = pa.concat_tables(held).combine_chunks()
+            part, home, node, key, copies = (table.column(k) for k in ("part", "own", "node", "key", "copies"))
+            u, v, more, alone = _dense_pairs(part.to_numpy(), home.to_numpy(), node.to_numpy(), key.to_pylist(), copies.to_numpy(), similarity)
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v, mask=alone), pa.array(more)], ["u", "v", "more"])
+
+        now = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            names = np.stack([table.column(k).to_numpy() for k in ("cell", "a", "b")], axis=1)
+            first = np.flatnonzero(np.r_[True, (names[1:] != names[:-1]).any(1)]) if len(names) else []
+            for s, e in zip(first, [*first[1:], len(names)], strict=True):
+                if now is not None and tuple(names[s]) != now:
+                    yield done()
+                    held.clear()
+                now = tuple(names[s])
+                held.append(table.slice(s, e - s))
+        if held:
+            yield done()
+
+    return run
+
+
+def links_of_dense(classes: DataFrame, centres: np.ndarray, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(u, v, more) of the links of classes (node, key, copies) near centres, and the classes that are near none.
+
+    Every link with one end near a centre counts, and no other: more is u's linked copies, where v is null; other rows
+    are links enough to join the same nodes. Pairs are counted where they are compared, so that a group of any size
+    makes rows by its size and not by its square. Cells are compared in pairs of parts, nothing is left out.
+    """
+    told = classes.sparkSession.sparkContext.broadcast(centres)
+    placed = common.cut(classes.select("node", "key", "copies").mapInArrow(_homes(told, similarity), "node long, key binary, copies long, home long, guest array<long>"), "homes")
+    own = placed.where("home >= 0").select(F.col("home").alias("cell"), F.lit(True).alias("own"), "node", "key", "copies")
+    cells = own.unionByName(placed.select(F.explode("guest").alias("cell"), F.lit(False).alias("own"), "node", "key", "copies"))
+    sizes = cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) * 2 / LEAF_ROWS).cast("int").alias("parts"))
+    cells = cells.join(F.broadcast(common.cut(sizes, "sizes")), "cell").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("a", F.least("part", "other")).withColumn("b", F.greatest("part", "other"))
+    cells = cells.select("cell", "a", "b", "part", "own", "node", "key", "copies").repartition("cell", "a", "b").sortWithinPartitions("cell", "a", "b", "part")
+    found = common.cut(cells.mapInArrow(_dense_links(similarity), "u long, v long, more long"), "dense")
+    return found, placed.where("home < 0").select("node", "key", "copies")
+
+
 def vector_classes(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame]:
     """Keys of all rows (id, key), and a row per distinct vector (node = smallest id, copies, key)."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
@@ -133,20 +262,32 @@ def vector_classes(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[Da
     return keys, common.cut(classes, "classes")
 
 
-def links_of_classes(classes: DataFrame, similarity: float = SIMILARITY, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL) -> DataFrame:
-    """Pairs (u, v), u < v, of classes (node, key) that share a leaf of some tree and have at least that cosine.
+def _sample(classes: DataFrame) -> np.ndarray:
+    sample = _matrix([bytes(r[0]) for r in classes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("key").collect()])
+    return sample / np.linalg.norm(sample, axis=1, keepdims=True)
+
+
+def links_of_classes(classes: DataFrame, similarity: float = SIMILARITY, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL) -> tuple[DataFrame, DataFrame]:
+    """Links of classes (node, key, copies) that have at least that cosine: pairs (u, v), u < v, that share a leaf of some
+    tree, and (u, v, more) of dense groups (see links_of_dense), which no tree takes apart.
 
     Vectors of different length never share a leaf. Nothing that shares a leaf is left out, however large the leaf.
     """
     spark = classes.sparkSession
     sizes = [r[0] for r in classes.select(F.length("key").alias("n")).distinct().orderBy("n").collect()]
-    found = None
+    found, dense = spark.createDataFrame([], "u long, v long"), spark.createDataFrame([], "u long, v long, more long")
     for size in sizes:
         own = classes.where(F.length("key") == size)
-        rows = own.count()
-        sample = _matrix([bytes(r[0]) for r in own.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("key").collect()])
-        forest = fit_forest(sample / np.linalg.norm(sample, axis=1, keepdims=True), rows, trees, leaf, spill)
-        told = spark.sparkContext.broadcast(forest)
+        rows, unit = own.count(), _sample(own)
+        centres = dense_centres(unit, rows, similarity, leaf)
+        if len(centres):
+            counted, own = links_of_dense(own, centres, similarity)
+            dense = dense.union(counted)
+            rows = own.count()
+            if not rows:
+                continue
+            unit = _sample(own)
+        told = spark.sparkContext.broadcast(fit_forest(unit, rows, trees, leaf, spill))
 
         def place(batches, told=told):
             for batch in batches:
@@ -158,9 +299,8 @@ def links_of_classes(classes: DataFrame, similarity: float = SIMILARITY, trees:
 
         placed = simhash.split_hot(common.cut(own.select("node", "key").mapInArrow(place, "cell long, node long, key binary"), "leaves"), LEAF_ROWS)
         links = placed.select("cell", "part", "node", "key").repartition("cell", "part").sortWithinPartitions("cell", "part")
-        links = links.mapInArrow(_leaf_links(similarity), "u long, v long").distinct()
-        found = links if found is None else found.union(links)
-    return found if found is not None else spark.createDataFrame([], "u long, v long")
+        found = found.union(links.mapInArrow(_leaf_links(similarity), "u long, v long").distinct())
+    return found, dense
 
 
 TREES_MOST = 1024
@@ -174,9 +314,12 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     with a null id (its component is null and it isn't kept). Repeated ids count as separate vectors of the same id.
     """
     keys, classes = vector_classes(vectors, id_col, vector_col)
-    links = common.cut(links_of_classes(classes, similarity, **forest), "links")
+    links, dense = links_of_classes(classes, similarity, **forest)
+    links = common.cut(links, "links")
     both = links.union(links.select("v", "u").toDF("u", "v"))
-    outer = both.join(classes.select(F.col("node").alias("v"), "copies"), "v").groupBy(F.col("u").alias("node")).agg(F.sum("copies").alias("more"))
+    outer = both.join(classes.select(F.col("node").alias("v"), "copies"), "v").select("u", "copies").union(dense.where("v is null").select("u", "more"))
+    outer = outer.groupBy(F.col("u").alias("node")).agg(F.sum("copies").alias("more"))
+    links = links.union(dense.where("v is not null").select("u", "v"))
     known = classes.join(outer, "node", "left").join(common.connected_components(links), "node", "left")
     known = known.select("key", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n"), F.coalesce("component", "node").alias("c"))
     rows = keys.where("id is not null").join(known, "key", "left").select("id", F.coalesce("n", F.lit(0)).alias("n_links"), F.coalesce("c", "id").alias("component_id"))

@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from tallyspark.llm import common, forest, queries
 
@@ -56,3 +58,30 @@ def test_large_leaves_are_compared_whole(spark, monkeypatch):
     got = {r["vec_id"]: r["n_links"] for r in forest.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), leaf=1000).collect()}
     good, links = brute(rows)
     assert got == {good[k][0]: len(v) for k, v in links.items()}
+
+
+@pytest.mark.parametrize("n", [3000, 6000, 15000])
+def test_one_group_of_a_third_of_the_rows(spark, n):
+    rng = np.random.default_rng(n)
+    x = rng.standard_normal((n, 64))
+    x[: n // 3] = x[0] + rng.standard_normal((n // 3, 64)) * 0.2
+    x[n // 3 : n // 3 + 300] = x[-1] + rng.standard_normal((300, 64)) * 0.2
+    x[:20] = x[:1]
+    got = forest.near_duplicate_vectors(spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": list(x)}))).toPandas().set_index("vec_id").sort_index()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = np.array([np.count_nonzero(unit[at : at + 500] @ unit.T >= 0.9, axis=1) for at in range(0, n, 500)]).ravel() - 1
+    assert (got["n_links"] <= near).all() and got["n_links"].sum() >= 0.99 * near.sum()
+    assert (got["n_links"][: n // 3] == near[: n // 3]).all() and (got["component_id"][: n // 3] == 0).all()
+
+
+def test_dense_groups_in_parts_beside_each_other(spark, monkeypatch):
+    monkeypatch.setattr(forest, "LEAF_ROWS", 32)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.standard_normal(8) + rng.standard_normal((300, 8)) * 0.45, rng.standard_normal((100, 8)), rng.standard_normal((120, 2)) @ rng.standard_normal((2, 8))])
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    centres = forest.dense_centres(unit, len(x), 0.9, 24)
+    dense = np.flatnonzero((unit @ centres.T >= 0.9).any(1))
+    got = {r["vec_id"]: r["n_links"] for r in forest.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), leaf=24).collect()}
+    good, links = brute(rows)
+    assert len(centres) > 1 and all(got[k] == len(links[k]) for k in dense)
