@@ -259,7 +259,7 @@ add("first_user_message", lambda spark, sf: bridge.table(spark, sf, "conversatio
 
 
 def _stream(which, spark, sf_dir):
-    """The stream over what is there now, into a table in a folder of its own."""
+    """The stream over what is there now, open windows included, into a table in a folder of its own."""
     import tempfile
     import uuid
 
@@ -268,8 +268,8 @@ def _stream(which, spark, sf_dir):
     folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tallyspark-')}/stream-{uuid.uuid4().hex}"
     schema = bridge.table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    out = {"sessions": live.session_windows, "minutes": live.minute_counts}[which](events)
-    live.drain(out, f"{folder}/out", f"{folder}/checkpoint")
+    out = {"sessions": live.session_windows, "minutes": live.minute_counts}[which](events, late=None)
+    live.drain_whole(out, f"{folder}/out", f"{folder}/checkpoint")
     return spark.read.schema(out.schema).parquet(f"{folder}/out")
 
 

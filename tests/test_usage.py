@@ -41,6 +41,17 @@ def test_streams(spark, duck, name, sql):
     assert n >= duck.execute(sql).fetchall()[0][0]
 
 
+@pytest.mark.parametrize("name,sql", [
+    ("stream_minute_rollup", "SELECT date_trunc('minute', ts) AS minute, event_type, count(*) AS n, sum(value) AS value FROM events GROUP BY ALL"),
+    ("stream_session_window", "SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS end, count(*) AS n FROM (SELECT *, count(*) FILTER (new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM (SELECT *, coalesce(ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE, true) AS new FROM events)) GROUP BY user_id, k"),
+])
+def test_streams_hold_every_event(spark, duck, name, sql):
+    got = catalogue.QUERIES[name](spark, SF)
+    want = duck.execute(sql).fetchall()
+    assert sorted(map(rounded, want), key=repr) == sorted((rounded(r) for r in got.collect()), key=repr)
+    assert sum(r["n"] for r in got.collect()) == duck.execute("SELECT count(*) FROM events").fetchall()[0][0]
+
+
 MESSAGE = "client string, session_id string, ts_ms long, duration_ms long, message_count int, input long, output long, cache_read long, cache_write long, reasoning long"
 
 
