@@ -228,6 +228,24 @@ add(
 add("replay_merge", over(usage, lambda u: archive.merge(archive.identify(u.where("event_id % 3 < 2")), archive.identify(u.where("event_id % 3 = 1"))).groupBy("client").agg(F.count(F.lit(1)).alias("n"))), f"WITH {USAGE}, k AS (SELECT *, CASE WHEN dedup_key IS NULL THEN 'e' || event_id ELSE client || dedup_key END AS id FROM usage), f AS (SELECT * FROM k WHERE event_id % 3 = 1 QUALIFY row_number() OVER (PARTITION BY id ORDER BY event_id DESC) = 1) SELECT client, count(*) AS n FROM (SELECT client FROM k WHERE event_id % 3 < 2 AND id NOT IN (SELECT id FROM f) UNION ALL SELECT client FROM f) GROUP BY client")
 
 
+REPLAYED_FROM = "2024-01-20"
+
+
+def _replayed(u):
+    """The whole table, with the rows of its last days, of all clients, read again with a message more."""
+    again = u.where(F.col("date") >= REPLAYED_FROM).withColumn("message_count", F.col("message_count") + 1)
+    return archive.merge(archive.identify(u), archive.identify(again)).select("fact_id", "event_id", "client", "model", "date", "output", "message_count")
+
+
+_FACT_ID = f"CASE WHEN dedup_key IS NOT NULL THEN {_hash(chr(39) + 'key' + chr(39), 'client', 'dedup_key')} ELSE {_hash(*_FACTS)} END"
+_R = "fact_id, event_id, client, model, date, output"
+add(
+    "replay_merge_rows",
+    over(usage, _replayed),
+    f"WITH {USAGE}, k AS (SELECT *, {_FACT_ID} AS fact_id FROM usage), f AS (SELECT * FROM k WHERE date >= '{REPLAYED_FROM}' QUALIFY row_number() OVER (PARTITION BY fact_id ORDER BY event_id DESC) = 1) SELECT {_R}, message_count FROM k WHERE fact_id NOT IN (SELECT fact_id FROM f) UNION ALL SELECT {_R}, message_count + 1 FROM f",
+)
+
+
 def _tree(spark, sf_dir):
     c = bridge.table(spark, sf_dir, "customer")
     edges = c.select(F.col("c_custkey").alias("node"), F.when(F.col("c_custkey") > 10, F.expr("c_custkey div 3")).alias("parent"))

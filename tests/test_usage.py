@@ -52,6 +52,14 @@ def test_streams_hold_every_event(spark, duck, name, sql):
     assert sum(r["n"] for r in got.collect()) == duck.execute("SELECT count(*) FROM events").fetchall()[0][0]
 
 
+def test_replay_merge_holds_every_row_of_every_client(spark):
+    rows = catalogue.QUERIES["replay_merge_rows"](spark, SF).collect()
+    usage = {r["event_id"]: r for r in catalogue.usage(spark, SF).collect()}
+    assert sorted(r["event_id"] for r in rows) == sorted(usage) and {r["client"] for r in rows} == {"codex", "claude", "opencode"}
+    changed = [r for r in rows if r["message_count"] != usage[r["event_id"]]["message_count"]]
+    assert {r["client"] for r in changed} == {"codex", "claude", "opencode"} and len(changed) == sum(r["date"] >= catalogue.REPLAYED_FROM for r in usage.values())
+
+
 MESSAGE = "client string, session_id string, ts_ms long, duration_ms long, message_count int, input long, output long, cache_read long, cache_write long, reasoning long"
 
 
