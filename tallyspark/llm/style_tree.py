@@ -27,7 +27,7 @@ _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"
 _NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _WHITE = re.compile(r"[ \t\n\r\f\v\x85\xa0]+")
 
-#: A node is noise if its importance is below this, from this many pages of its host on; fewer can't tell.
+#: A node is noise if its importance is below this, from this many distinct pages of its host on; fewer can't tell.
 IMPORTANCE, PAGES = 0.1, 8
 
 
@@ -155,29 +155,34 @@ def _host(url: str | None) -> str:
     return m[1].rpartition("@")[2].lower() if m else ""
 
 
+def _digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
 def _nodes(batches):
-    """A row for each (page, path, content) that its presentation marks neither as noise nor as the article."""
+    """A row for each (page, path, content) that its presentation marks neither as noise nor as the article; page is a
+    digest of all blocks that aren't marked, the same for copies of a page."""
     for batch in batches:
-        out = {"host": [], "path": [], "content": []}
-        pages = []
-        for page, url, html in zip(*(batch.column(k).to_pylist() for k in ("page", "url", "html")), strict=True):
-            host, seen = _host(url), set()
+        out = {"host": [], "path": [], "content": [], "page": []}
+        for url, html in zip(*(batch.column(k).to_pylist() for k in ("url", "html")), strict=True):
+            host, seen, whole = _host(url), set(), []
             for block in blocks_of(html):
-                if block.marks or block.in_article:
-                    continue
-                body = block_text(block)
+                body = "" if block.marks else block_text(block)
                 if body:
-                    seen.add((block.path, int.from_bytes(hashlib.blake2b(body.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)))
+                    whole.append(f"{block.path}\n{body}")
+                    if not block.in_article:
+                        seen.add((block.path, _digest(body)))
+            page = _digest("\n".join(whole))
             for path, content in seen:
                 out["host"].append(host)
                 out["path"].append(path)
                 out["content"].append(content)
-                pages.append(page)
-        yield pa.RecordBatch.from_arrays([pa.array(out["host"], pa.string()), pa.array(out["path"], pa.string()), pa.array(out["content"], pa.int64()), pa.array(pages, pa.int64())], ["host", "path", "content", "page"])
+                out["page"].append(page)
+        yield pa.RecordBatch.from_arrays([pa.array(out["host"], pa.string()), pa.array(out["path"], pa.string()), pa.array(out["content"], pa.int64()), pa.array(out["page"], pa.int64())], ["host", "path", "content", "page"])
 
 
 def importance(nodes: DataFrame) -> DataFrame:
-    """(host, path, pages, importance): of each node of each site's merged tree.
+    """(host, path, pages, importance): of each node of each site's merged tree. nodes are distinct, so copies of a page count once.
 
     A node's contents are features; a feature on few of the pages tells the page apart, one on all of them doesn't.
     Importance is 1 less the mean over the node's occurrences of log(pages with the content) / log(pages with the
@@ -204,9 +209,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Pages of one host (empty for a null or odd url) share a tree. Nodes of low importance go, wherever enough pages
     show it. Sites' removed paths are joined to their pages by host.
     """
-    rows = pages.select(F.monotonically_increasing_id().alias("page"), F.col(url_col).cast("string").alias("url"), common.text_of(html_col).alias("html"))
+    rows = pages.select(F.col(url_col).cast("string").alias("url"), common.text_of(html_col).alias("html"))
     nodes = rows.mapInArrow(_nodes, "host string, path string, content long, page long")
-    low = importance(common.cut(nodes, "nodes")).where((F.col("pages") >= PAGES) & (F.col("importance") < IMPORTANCE))
+    low = importance(common.cut(nodes.distinct(), "nodes")).where((F.col("pages") >= PAGES) & (F.col("importance") < IMPORTANCE))
     low = common.cut(low.groupBy("host").agg(F.array_sort(F.collect_list("path")).alias("removed")), "low")
     n = low.count()
     told = None

@@ -127,6 +127,17 @@ def test_site_tree_removes_what_all_pages_share(spark):
     assert style_tree.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_copies_of_a_page_count_once(spark):
+    page = "<body><div class='top'>Top</div><div class='story'>{}</div></body>"
+    rows = [(i, "http://copies.example/x", page.format("One story")) for i in range(50)]
+    rows += [(100 + i, "http://most.example/x", page.format("One story" if i < 38 else f"Story {i}")) for i in range(40)]
+    rows += [(200 + i, None, page.format("No host")) for i in range(20)]
+    rows += [(300 + i, "http://site.example/x", page.format(f"Story {i // 3}")) for i in range(36)]
+    got = {r["page_id"]: r["text"] for r in style_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(50)} == {"Top\nOne story"} and got[138] == "Top\nStory 38" and got[139] == "Top\nStory 39" and got[200] == "Top\nNo host"
+    assert all(got[300 + i] == f"Story {i // 3}" for i in range(36))
+
+
 # toxicity
 
 
