@@ -38,11 +38,11 @@ class Block:
         self.path, self.marks, self.in_article, self.text, self.linked = path, marks, in_article, [], 0
 
 
-def _label(tag: str, attributes: str) -> tuple[str, bool]:
-    """A node's presentation (tag, class and role words) and whether it marks noise by itself."""
+def _label(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """A node's presentation (tag, class and role words), whether it marks noise by itself, and whether a word of its does."""
     if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return tag, tag in NOISE_TAGS
-    words, noise = [], tag in NOISE_TAGS
+        return tag, tag in NOISE_TAGS, False
+    words, noise, named = [], tag in NOISE_TAGS, False
     for name, *values in _ATTRIBUTE.findall(attributes):
         value, name = "".join(values), name.lower()
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
@@ -50,24 +50,45 @@ def _label(tag: str, attributes: str) -> tuple[str, bool]:
         else:
             found = [w.lower() for w in _NAME_WORDS.findall(value)]
             if tag not in ARTICLE and tag not in ("body", "html") and not NOISE_WORDS.isdisjoint(found):
-                noise = True
+                named = True
             if name != "id":
                 words += [w for w in found if not w.isdigit()]
-    return f"{tag}.{'.'.join(sorted(set(words)))}" if words else tag, noise
+    return f"{tag}.{'.'.join(sorted(set(words)))}" if words else tag, noise, named
 
 
 def blocks_of(html: str) -> list[Block]:
     """The page's text blocks in order, each with the path of its presentation. Tolerates what browsers do: unclosed and
-    stray tags, raw text elements, a page cut anywhere."""
+    stray tags, raw text elements, a page cut anywhere.
+
+    A container that a word marks as noise isn't marked if it holds most of the page's text, or the page's only article
+    or main elements. Within an article, words mark as they are.
+    """
+    named: list[list] = []  # of each container with such a word: characters of text, holds an article
+    found, whole, apart = _parse(html, frozenset(), named)
+    good = frozenset(k for k, (n, holds) in enumerate(named) if 2 * n > whole or holds and not apart)
+    return _parse(html, good, [])[0] if good else found
+
+
+def _parse(html: str, good: frozenset, named: list[list]) -> tuple[list[Block], int, bool]:
+    """Blocks, the characters of text that no element marks as noise, and whether an article is in no named container.
+    Adds the named containers to named; those whose number is in good don't mark."""
     found: list[Block] = []
     stack: list[tuple[str, str, bool, bool]] = []  # tag, path, noise, in article
+    within: list[tuple[int, ...]] = []  # of each of the stack: the named containers around it, None in noise of another kind
+    whole, apart = 0, False
     current: Block | None = None
     at = 0
 
     def text(raw: str) -> None:
-        nonlocal current
+        nonlocal current, whole
         if not raw:
             return
+        around = within[len(stack) - 1] if stack else ()
+        if around is not None:
+            n = len("".join(raw.split()))
+            whole += n
+            for k in around:
+                named[k][0] += n
         _, path, noise, inside = stack[-1] if stack else ("", "", False, False)
         if current is not None and current.marks != noise:
             if noise:  # marked elements in the midst of a line
@@ -129,18 +150,33 @@ def blocks_of(html: str) -> list[Block]:
                 text(" ")
             if tag in VOID:
                 continue
-            label, noise = _label(tag, m[3] or "")
+            label, noise, word = _label(tag, m[3] or "")
             _, path, above, inside = stack[-1] if stack else ("", "", False, False)
+            if tag in ("svg", "math") and (m[3] or "").endswith("/"):
+                continue
             if tag in RAW:
                 end = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(html, at)
                 at = end.end() if end else len(html)
                 continue
+            around = within[len(stack) - 1] if stack else ()
+            around = None if noise else around
+            if word:
+                named.append([0, False])
+                if around is not None and not inside:
+                    around = (*around, len(named) - 1)
+                noise = noise or len(named) - 1 not in good
+            if tag in ARTICLE and around is not None:
+                apart = apart or not around
+                for k in around:
+                    named[k][1] = True
+            del within[len(stack) :]
+            within.append(around)
             if tag not in BLOCK:
                 stack.append((tag, path, above or noise, inside))
             else:
                 # article and main carry their own header and footer; what marks noise elsewhere still does within
                 stack.append((tag, f"{path}/{label}", above or noise, inside or tag in ARTICLE))
-    return found
+    return found, whole, apart
 
 
 def block_text(block: Block) -> str:

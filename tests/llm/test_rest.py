@@ -127,6 +127,15 @@ def test_site_tree_removes_what_all_pages_share(spark):
     assert style_tree.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_text_behind_foreign_elements_and_in_containers_with_a_noise_word():
+    text = style_tree.main_text
+    assert text("<p>a<svg width='1' /> b</p><math/><p>c<svg><path/>x</svg>d</p>") == "a b\ncd"
+    assert text("<body><nav>n</nav><div class='content has-sidebar'><article><p>Story</p></article><div class=sidebar>s</div></div><div class=related>longer than the story itself</div>") == "Story"
+    assert text("<div class='elementor-widget-text-editor'><p>The whole long story</p><div class=share>s</div></div><div class=related>more</div>") == "The whole long story"
+    assert text("<main><p>Story</p><div id=comments><article>a comment longer than it</article></div></main>") == "Story"
+    assert text("<p>The story itself</p><div class=related><p>more</p></div>") == "The story itself"
+
+
 def test_copies_of_a_page_count_once(spark):
     page = "<body><div class='top'>Top</div><div class='story'>{}</div></body>"
     rows = [(i, "http://copies.example/x", page.format("One story")) for i in range(50)]
