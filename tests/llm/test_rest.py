@@ -232,3 +232,46 @@ def test_pipeline(spark):
         docs = out
     got = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert got.count() == docs.count() > 0
+
+
+def test_run_against_plain_python(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdefghijklmnoprstuvw"), 7)) for _ in range(4000)]
+    texts = {i: " ".join(rng.choice(words, 60)) for i in range(240)}
+    toxic = {i for i in texts if i % 6 == 0}
+    copies = {i: i - 20 for i in range(200, 240) if i not in toxic and i - 20 not in toxic and i < 220}
+    for i in toxic:
+        texts[i] = f"you idiot scum {texts[i]} idiot scum"
+    for i in range(1, 200, 7):
+        texts[i] += f" name{i}@mail.example.com"
+    for i, j in copies.items():
+        texts[i] = texts[j]
+    docs = [(i, x, "abcd"[i % 3 if i % 5 else 3]) for i, x in texts.items()]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i in toxic)) for i in texts], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    source = {i: s for i, _, s in docs}
+
+    stages, at, sf = {}, common.table(spark, str(tmp_path), "documents"), str(tmp_path)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = common.cut(stage(spark, at, sf))
+        stages[name] = [(r["doc_id"], r["text"]) for r in at.collect()]
+    clean = {i: x for i, x in texts.items() if i not in toxic}
+    assert sorted(stages["toxicity"]) == sorted(clean.items())
+    single = {i: x for i, x in clean.items() if i not in copies}
+    assert copies and sorted(stages["simhash_near_duplicates"]) == sorted(single.items())
+    masked = {i: re.sub(r"\S+@\S+", "[EMAIL]", x) for i, x in single.items()}
+    assert masked != single and sorted(stages["personal_data"]) == sorted(masked.items())
+    mix, sizes, taken = stages["source_mixing"], defaultdict(int), defaultdict(int)
+    for i, x in masked.items():
+        sizes[source[i]] += len(x.split())
+    for i, x in mix:
+        assert x == masked[i]
+        taken[source[i]] += len(x.split())
+    times = {s: {sum(j == i for j, _ in mix) for i in masked if source[i] == s} for s in sizes}
+    want, most = fair_targets(sizes), max(len(x.split()) for x in masked.values())
+    assert all(abs(taken[s] - want[s]) <= most / 2 + 1 and max(times[s]) - min(times[s]) <= 1 for s in sizes)
+    rows = []
+    for i, x in mix:
+        ids = OWN.encode_ordinary(x)
+        rows.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(x.encode()).hexdigest()))
+    assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == sorted(rows)
