@@ -6,6 +6,7 @@ import base64
 import hashlib
 import struct
 from functools import lru_cache
+from itertools import islice
 from pathlib import Path
 
 import numpy as np
@@ -15,6 +16,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: A worker keeps the ids of so many distinct words, some 200 bytes each, and of as many that it used before; it looks
+#: words up for so many characters of texts at a time.
+ENTRIES, TOGETHER = 60_000, 6_000_000
+
 
 def byte_map() -> dict[int, str]:
     """A printable character for each byte: itself where it is printable Latin-1, else the next from U+0100 on."""
@@ -82,7 +87,8 @@ class Codec:
         self.table = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.table[rank] = token
-        self.cache = common.PieceCache(self._piece)
+        self.names = list(map(str, range(len(self.table))))
+        self.cache = common.PieceCache(self._piece, ENTRIES, self._words)
 
     def _piece(self, piece: str) -> bytes:
         ids: list[int] = []
@@ -94,6 +100,21 @@ class Codec:
                 ids += self.model.EncodeAsIds(raw.decode("latin-1").translate(self.chars))
         return common.u32(ids)
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        raws = [(" " + w).encode("utf-8") for w in words]
+        rest = [raw.decode("latin-1").translate(self.chars) for raw in raws if raw not in self.ranks]
+        found = iter(self.model.EncodeAsIds(rest, num_threads=1) if rest else ())
+        return [common.u32([self.ranks[raw]] if raw in self.ranks else next(found)) for raw in raws]
+
+    def digests(self, raw: bytes) -> tuple[str, str]:
+        """SHA-256 of the decimal ids joined by commas and of the decoded bytes, some ids at a time."""
+        ids, said, decoded = np.frombuffer(raw, "<u4"), hashlib.sha256(), hashlib.sha256()
+        for at in range(0, len(ids), 65_536):
+            part = ids[at : at + 65_536].tolist()
+            said.update(("," if at else "").encode() + ",".join(map(self.names.__getitem__, part)).encode())
+            decoded.update(b"".join(map(self.table.__getitem__, part)))
+        return said.hexdigest(), decoded.hexdigest()
+
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(self.cache.of(text), dtype="<u4")
 
@@ -115,25 +136,18 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     """
     packed = docs.sparkSession.sparkContext.broadcast(Path(ranks_path).read_bytes())
 
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids
+
     def run(batches):
         codec = _codec(packed.value, pattern)
-        common.claim("bpe", codec.cache.release)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                counts, hashes, decoded, raw = [], [], [], []
-                for text in part.column("text").to_pylist():
-                    found = codec.encode(text)
-                    counts.append(len(found))
-                    hashes.append(hashlib.sha256(",".join(map(str, found.tolist())).encode()).hexdigest())
-                    decoded.append(hashlib.sha256(codec.decode(found)).hexdigest())
-                    if ids:
-                        raw.append(found.tobytes())
-                columns = [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(hashes), pa.array(decoded)]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if ids:
-                    columns, names = [*columns, pa.array(raw, pa.binary())], [*names, "ids"]
-                yield pa.RecordBatch.from_arrays(columns, names)
+        for group in common.text_groups(batches, TOGETHER):
+            doc_ids, at = group.column("doc_id").combine_chunks(), 0
+            found = codec.cache.of_many(group.column("text"), TOGETHER)
+            while raw := list(islice(found, 256)):
+                hashes, decoded = zip(*map(codec.digests, raw), strict=True)
+                columns = [doc_ids.slice(at, len(raw)), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array(hashes), pa.array(decoded)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(raw, pa.binary())] if ids else columns, names)
+                at += len(raw)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), common.text_of(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids)
+    return rows.mapInArrow(common.task("bpe", run, _codec.cache_clear), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids)

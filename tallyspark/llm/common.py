@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import sys
 import tempfile
@@ -10,6 +11,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,7 +78,7 @@ def maybe_broadcast(small: DataFrame, rows: int, limit: int = BROADCAST_ROWS) ->
 
 #: White space of any reading: what Python, Rust and Oniguruma take as \s, and the four separators on which they differ.
 _WS = "\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_BEFORE_BLANK = re.compile(f"[{_WS}] ")
+_IRREGULAR = re.compile(f"[{_WS}][ \n]")
 #: The same without the four separators: a cut must be made only before what every reading takes as white space.
 _SURE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECES = re.compile(f"[{_SURE}]*[^{_SURE}]+|[{_SURE}]+")
@@ -93,39 +95,90 @@ def u32(ids: list[int]) -> bytes:
 _claimed: list = [None, None]
 
 
-def claim(owner: str, release) -> None:
+def claim(owner: str, release=None) -> None:
     """A worker keeps the caches of one operator at a time: the one before is told to let go of its own."""
     if _claimed[0] != owner:
         if _claimed[1] is not None:
             _claimed[1]()
         _claimed[:] = [owner, release]
+        settle()
+
+
+def settle() -> None:
+    """Give freed memory back to the system: Arrow's pool, then the C library's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def task(owner: str, run, release=None):
+    """run, a function from batches to batches, as a task of owner: caches of other operators go before it starts, and
+    what it freed goes back to the system when it ends."""
+
+    def claimed(batches):
+        claim(owner, release)
+        try:
+            yield from run(batches)
+        finally:
+            settle()
+
+    return claimed
+
+
+def text_groups(batches, most: int):
+    """Tables of whole batches (with a column text) that hold most bytes together, or end the input."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.column("text").nbytes
+        if n >= most:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 class PieceCache(dict):
     """Value of each piece of text, computed once per worker for each distinct piece.
 
     Pre-tokens hold white space at their start only, so a text may be cut before any white space that follows
-    something else, and between a letter and a comma or stop; the value of a text (ids, bytes) is the concatenation of its pieces' values. ``compute`` gets one
-    piece. Keys are pieces without their leading blank in ``self`` and whole pieces in ``self.plain``. The cache is
-    in two generations of at most ``limit`` entries each, which bounds its memory: what is used again outlives the older.
+    something else, and between a letter and a comma or stop; the value of a text (ids, bytes) is the concatenation of
+    its pieces' values. ``compute`` gets one piece, ``compute_words`` words of letters, each of which has a blank before
+    it. Keys are pieces without their leading blank in ``self`` and whole
+    pieces in ``plain``. Each of the two is in two generations, of at most ``limit`` entries each in ``self`` and half
+    of that in ``plain``; what is used again outlives the older one. Pieces of over ``LONGEST`` characters are computed
+    each time, which bounds the memory: some 200 bytes an entry.
     """
 
-    def __init__(self, compute, limit: int = 250_000):
+    LONGEST = 48
+
+    def __init__(self, compute, limit: int, compute_words=None):
         super().__init__()
         self.compute, self.limit = compute, limit
-        self.plain: dict[str, bytes] = {}
+        self.compute_words = compute_words or (lambda words: [compute(" " + w) for w in words])
         self.older: dict[str, bytes] = {}
+        self.plain: dict[str, bytes] = {}
+        self.plain_older: dict[str, bytes] = {}
 
     def release(self) -> None:
-        for held in (self, self.plain, self.older):
+        for held in (self, self.older, self.plain, self.plain_older):
             held.clear()
 
     def whole(self, piece: str) -> bytes:
         found = self.plain.get(piece)
         if found is None:
-            if len(self.plain) >= self.limit // 8:
-                self.plain.clear()
-            found = self.plain[piece] = self.compute(piece)
+            found = self.plain_older.pop(piece, None)
+            if found is None:
+                if len(piece) > 1 and piece[-1] in ",." and piece[-2].isalpha():
+                    return self.whole(piece[:-1]) + self.whole(piece[-1])
+                found = self.compute(piece)
+            if len(piece) > self.LONGEST:
+                return found
+            if len(self.plain) >= self.limit // 2:
+                self.plain, self.plain_older = {}, self.plain
+            self.plain[piece] = found
         return found
 
     def __missing__(self, part: str) -> bytes:
@@ -133,27 +186,96 @@ class PieceCache(dict):
         if value is None:
             if part.isalpha():
                 value = self.compute(" " + part)
+            elif part[:1] == "\n":  # a line end without a blank before it
+                word = part[1:-1] if part[-1] in ",." else part[1:]
+                pieces = ["\n", word, part[len(word) + 1 :]] if word.isalpha() else _PIECES.findall(part)
+                value = b"".join([self.whole(x) for x in pieces if x])
             elif len(part) > 1 and part[-1] in ",." and part[-2].isalpha():
-                value = self[part[:-1]] + self.whole(part[-1])
+                return self[part[:-1]] + self.whole(part[-1])
             else:
                 pieces = _PIECES.findall(" " + part)
-                if len(pieces) > 1:  # each line's end is a piece of its own, and such parts rarely come again
+                if len(pieces) > 1:
                     head = pieces[0]
                     return (self[head[1:]] if head[0] == " " and head[1:] != part else self.whole(head)) + b"".join(map(self.whole, pieces[1:]))
                 value = self.compute(" " + part)
-        if len(self) >= self.limit:
-            self.older = dict(self)
-            self.clear()
-        self[part] = value
+        self._keep(part, value)
         return value
 
+    def _keep(self, part: str, value: bytes) -> None:
+        if len(part) <= self.LONGEST:
+            if len(self) >= self.limit:
+                self.older = dict(self)
+                self.clear()
+            self[part] = value
+
+    def _values(self, known: list[str]) -> list[bytes]:
+        """The values of distinct words, those of letters (and a mark) that aren't kept computed together."""
+        values = list(map(self.get, known))
+        missing = [k for k, v in enumerate(values) if v is None]
+        marks = {x: self.whole(x) for x in ",."}
+        todo: dict[str, bytes | None] = {}
+        for k in missing:
+            stem = known[k]
+            if not stem.isalpha():
+                if stem[-1:] not in marks or not (stem := stem[:-1]).isalpha():
+                    continue
+            found = self.get(stem)
+            todo[stem] = self.older.get(stem) if found is None else found
+        words = [w for w, v in todo.items() if v is None]
+        for at in range(0, len(words), 512):
+            part = words[at : at + 512]
+            todo.update(zip(part, self.compute_words(part), strict=True))
+        for k in missing:
+            word = known[k]
+            value = todo.get(word)
+            if value is None:
+                stem = todo.get(word[:-1]) if word[-1:] in marks else None
+                value = self[word] if stem is None else stem + marks[word[-1]]
+            values[k] = value
+        for word in words:
+            self._keep(word, todo[word])
+        return values
+
     def of(self, text: str) -> bytes:
-        if _BEFORE_BLANK.search(text):
+        if _IRREGULAR.search(text):
             return b"".join(map(self.whole, _PIECES.findall(text)))
-        first, *rest = text.split(" ")
+        first, *rest = text.replace("\n", " \n").split(" ")
         start = b"".join(map(self.whole, _PIECES.findall(first)))
         return start + b"".join(map(self.__getitem__, rest)) if rest else start
 
+    def of_many(self, texts, most: int = 1 << 22):
+        """of() of each text (a list or an Arrow array without nulls), in order. Words are told apart by Arrow, some most
+        bytes of texts at a time, so that each distinct word of such a part is looked up once."""
+        if isinstance(texts, list):
+            texts = pa.array(texts, pa.string())
+        if isinstance(texts, pa.ChunkedArray):
+            texts = texts.combine_chunks()
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
+            yield from self._part(texts.slice(at, to - at))
+            at = to
+
+    def _part(self, texts: pa.Array) -> list[bytes]:
+        odd = pc.match_substring_regex(texts, _IRREGULAR.pattern)
+        split = pc.split_pattern(pc.replace_substring(pc.if_else(odd, "", texts), "\n", " \n"), " ")
+        ends = split.offsets.to_numpy()
+        words = split.flatten().dictionary_encode()
+        place, known = words.indices.to_numpy().copy(), words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        # a text's first word has no blank before it: its value is the text's own
+        first = place[ends[:-1]].tolist()
+        place[ends[:-1]] = np.arange(len(known), len(known) + len(texts))
+        values = self._values(known)
+        values += [b"".join(map(self.whole, _PIECES.findall(known[f]))) for f in first]
+        for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            values[len(values) - len(texts) + k] = self.of(texts[k].as_py())
+        found = pa.array(values, pa.large_binary()).take(pa.array(place))
+        offsets = np.frombuffer(found.buffers()[1], np.int64)[found.offset : found.offset + len(found) + 1]
+        raw = memoryview(found.buffers()[2] or b"")
+        cuts = offsets[ends].tolist()
+        return [bytes(raw[s:e]) for s, e in zip(cuts, cuts[1:], strict=False)]
+
 
 # Connected components ------------------------------------------------------------------------------------------------
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import zlib
 from functools import lru_cache
+from itertools import islice
 from pathlib import Path
 
 import numpy as np
@@ -21,6 +23,9 @@ SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 512, 16_384, 65_536
 #: A segment ends when its frames reach this size.
 SEGMENT_BYTES = 1 << 20
 LEVEL = 3
+#: A worker keeps the ids of so many distinct words, some 200 bytes each, and of as many that it used before; it
+#: looks words up for so many characters of texts at a time.
+ENTRIES, TOGETHER = 100_000, 12_000_000
 
 #: A document's line in a segment's index.
 INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("length", "<u4"), ("n_tokens", "<u4")])
@@ -31,32 +36,78 @@ _LATIN = "\u0250"
 
 
 def _splits_at_blanks(tokenizer) -> bool:
-    """Whether a blank and Latin letters are one pre-token, whose byte characters go to the merges as they are."""
+    """Whether a blank and Latin letters are one pre-token, whose byte characters go to the merges as they are, and no
+    added token could span a cut of a text."""
     probe = " \u00e9tait Stra\u00dfe"
     if tokenizer.normalizer is not None or tokenizer.post_processor is not None or tokenizer.pre_tokenizer is None:
         return False
+    added = tokenizer.get_added_tokens_decoder().values()
+    if any(x.lstrip or x.rstrip or x.single_word or len(x.content.split()) != 1 or x.content != x.content.strip() or x.content[-1].isalpha() or x.content[-1] in ",." for x in added):
+        return False
     words = ["".join(byte_map()[b] for b in x.encode()) for x in (" \u00e9tait", " Stra\u00dfe")]
     return [x for x, _ in tokenizer.pre_tokenizer.pre_tokenize_str(probe)] == words
 
 
+class _Whole:
+    """What PieceCache does, for a tokenizer that allows no cuts: the library's ids of each whole text."""
+
+    def __init__(self, whole):
+        self.of = whole
+
+    def release(self) -> None:
+        pass
+
+    def of_many(self, texts, most: int = 0):
+        return map(self.of, texts.to_pylist() if hasattr(texts, "to_pylist") else texts)
+
+
 @lru_cache(maxsize=2)
 def _tokenizer(json: str):
     import tokenizers
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     found = tokenizers.Tokenizer.from_str(json)
-    found.encode_special_tokens = True
     whole = lambda piece: common.u32(found.encode(piece, add_special_tokens=False).ids)
     if not _splits_at_blanks(found):
-        return common.PieceCache(whole)
-    chars, merge = byte_map(), found.model.tokenize
-
-    def of(piece: str) -> bytes:
-        word = piece[1:]
-        if piece[0] == " " and word.isalpha() and max(word) < _LATIN:
+        return _Whole(whole)
+    chars = byte_map()
+    # the same merges without the splitting, for words in byte characters: a token with the blank's starts a word
+    merges = tokenizers.Tokenizer.from_str(json)
+    merges.pre_tokenizer = tokenizers.pre_tokenizers.WhitespaceSplit()
+    merge = found.model.tokenize
+
+    def piece_of(piece: str) -> bytes:
+        if piece.isalpha() and max(piece) < _LATIN:
             return common.u32([x.id for x in merge(piece.encode().decode("latin-1").translate(chars))])
         return whole(piece)
 
-    return common.PieceCache(of)
+    vocabulary = found.get_vocab(with_added_tokens=True)
+    starts = np.zeros(max(vocabulary.values()) + 1, bool)
+    starts[[i for token, i in vocabulary.items() if token[0] == chars[32]]] = True
+
+    blank = " " + chars[32]
+    table = {b: c for b, c in chars.items() if b > 127}
+
+    def words_of(words: list[str]) -> list[bytes]:
+        latin = [w for w in words if w.isascii() or max(w) < _LATIN]
+        if not latin:
+            return [whole(" " + w) for w in words]
+        # letters of ASCII are their own byte characters; the blanks are put in after the others are mapped
+        line = " ".join(latin)
+        if not line.isascii():
+            line = line.encode().decode("latin-1").translate(table)
+        ids = np.array(merges.encode_batch_fast([blank + line.replace(" ", blank)], add_special_tokens=False)[0].ids, "<u4")
+        at = (4 * np.flatnonzero(starts[ids])).tolist()
+        if len(at) != len(latin):
+            return [whole(" " + w) for w in words]
+        raw = ids.tobytes()
+        found = [raw[s:e] for s, e in zip(at, [*at[1:], len(raw)], strict=True)]
+        if len(latin) == len(words):
+            return found
+        known = dict(zip(latin, found, strict=True))
+        return [known[w] if w in known else whole(" " + w) for w in words]
+
+    return common.PieceCache(piece_of, ENTRIES, words_of)
 
 
 @lru_cache(maxsize=2)
@@ -96,28 +147,30 @@ def write_token_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     width = 2 if max(tokenizers.Tokenizer.from_str(json).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), common.text_of(text_col).alias("text"))
     told = spark.sparkContext.broadcast(json)
-    ids_of = lambda text: np.append(np.frombuffer(_tokenizer(told.value).of(text), "<u4"), np.uint32(end_id)).astype(f"<u{width}").tobytes()
+    end = common.u32([end_id])
+
+    def ids_of(texts: pa.Array):
+        return (np.frombuffer(x + end, "<u4").astype(f"<u{width}").tobytes() for x in _tokenizer(told.value).of_many(texts, TOGETHER))
 
     def sample(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([ids_of(x)[:SAMPLE_BYTES] for x in batch.column("text").to_pylist()], pa.binary())], ["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[:SAMPLE_BYTES] for x in ids_of(batch.column("text"))], pa.binary())], ["ids"])
 
     wanted = [r[0] for r in rows.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()]
-    raw = train_dictionary(sorted(bytes(r[0]) for r in rows.where(F.col("doc_id").isin(wanted)).mapInArrow(sample, "ids binary").limit(2 * SAMPLE).collect()))
+    raw = train_dictionary(sorted(bytes(r[0]) for r in rows.where(F.col("doc_id").isin(wanted)).mapInArrow(sample, "ids binary").orderBy("ids").limit(2 * SAMPLE).collect()))
     dictionary, named = spark.sparkContext.broadcast(raw), dictionary_hash(raw)
     spark.createDataFrame([(named, bytearray(raw), width)], "dict_hash string, dictionary binary, width int").coalesce(1).write.parquet(f"{path}/dictionary")
 
     def encode(batches):
         import zstandard
 
-        common.claim("token_store", _tokenizer(told.value).release)
-
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary.value))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                found = [ids_of(x) for x in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([zlib.crc32(x) for x in found], pa.int64()), pa.array([len(x) // width for x in found], pa.int64()), pa.array(list(map(packer.compress, found)), pa.binary())], ["doc_id", "crc", "n_tokens", "frame"])
+        for group in common.text_groups(batches, TOGETHER):
+            doc_ids, at = group.column("doc_id").combine_chunks(), 0
+            found = ids_of(group.column("text"))
+            while part := list(islice(found, 512)):
+                yield pa.RecordBatch.from_arrays([doc_ids.slice(at, len(part)), pa.array([zlib.crc32(x) for x in part], pa.int64()), pa.array([len(x) // width for x in part], pa.int64()), pa.array(list(map(packer.compress, part)), pa.binary())], ["doc_id", "crc", "n_tokens", "frame"])
+                at += len(part)
 
     def pack(batches):
         shard, seq, lines, frames, size = TaskContext.get().partitionId(), 0, [], [], 0
@@ -140,7 +193,7 @@ def write_token_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
             yield segment()
 
     interim = f"{path}/_frames"
-    rows.mapInArrow(encode, "doc_id long, crc long, n_tokens long, frame binary").write.option("compression", "none").parquet(interim)
+    rows.mapInArrow(common.task("token_store", encode, _tokenizer.cache_clear), "doc_id long, crc long, n_tokens long, frame binary").write.option("compression", "none").parquet(interim)
     key = ["doc_id", "crc", "n_tokens"]
     ordered = spark.read.parquet(interim).repartitionByRange(*key).sortWithinPartitions(*key)
     packed = ordered.mapInArrow(pack, "shard int, seq int, first_id long, dict_hash string, n_docs long, n_tokens long, index binary, blob binary")

@@ -14,7 +14,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def encode(texts):
     t = tokenizers.Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return [np.array([*e.ids, 0], dtype="<u4") for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -61,7 +60,7 @@ def test_words_go_to_the_merges_as_the_library_splits_them():
     t = tokenizers.Tokenizer.from_file(PATH)
     assert token_store._splits_at_blanks(t)
     own = token_store._tokenizer(t.to_str())
-    for text in (" ªº µ ǅ ʰ́ 𝒳 x́", "don't I'LL 's", " <|endoftext|> a<|endoftext|>b", " İ ı ſ ẞ Straße,", "中文 字 ɐ", "a  b\n c", ""):
+    for text in (" ªº µ ǅ ʰ́ 𝒳 x́", "don't I'LL 's", " <|endoftext|> a<|endoftext|>b", "a <|endoftext|> b", "x  <|endoftext|>\n\nWas.\nThe, end", "a,\nb.\n\tC\n 'd\n", "\nA b", " İ ı ſ ẞ Straße,", "中文 字 ɐ", "a  b\n c", ""):
         assert np.array_equal(np.append(np.frombuffer(own.of(text), "<u4"), 0), encode([text])[0]), text
 
 
@@ -71,3 +70,16 @@ def test_other_tokenizers_are_not_taken_apart():
     assert not token_store._splits_at_blanks(t)
     own = token_store._tokenizer(t.to_str())
     assert np.frombuffer(own.of("a Word"), "<u4").tolist() == t.encode("a Word", add_special_tokens=False).ids
+
+
+def test_many_texts_at_once_equal_the_library():
+    import random
+
+    rng, own = random.Random(5), token_store._tokenizer(tokenizers.Tokenizer.from_file(PATH).to_str())
+    parts = ["the", "Rend", "naïve", "ñ", "中", "x1", "12", ",", ".", "\n", "\r\n", "\t", " ", "  ", "'s", "<|endoftext|>", "\u3000", "\x1c", "-", "ɐb", "\u0301", "é", "_", "I'm"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(20_000)]
+    texts += [" ".join(rng.choices(parts[:12], k=40)) for _ in range(2_000)]
+    got = [np.append(np.frombuffer(x, "<u4"), 0) for x in own.of_many(texts, 5_000)]
+    assert all(np.array_equal(a, b) for a, b in zip(got, encode(texts), strict=True))
+    small = common.PieceCache(own.compute, 50, own.compute_words)
+    assert [np.append(np.frombuffer(x, "<u4"), 0).tolist() for x in small.of_many(texts[-300:], 300)] == [x.tolist() for x in encode(texts[-300:])]
