@@ -5,6 +5,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -23,18 +24,19 @@ def fingerprint(text: str) -> int:
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return 0
-    whole, digest = b" ".join(words), xxhash.xxh64_intdigest
+    digest = xxhash.xxh64_intdigest
     if len(words) < SHINGLE:
-        return digest(whole, SEED)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths + 1) - 1
-    starts = (ends - lengths)[: 1 - SHINGLE].tolist()
-    found = [digest(whole[s:e], SEED) for s, e in zip(starts, ends[SHINGLE - 1 :].tolist(), strict=True)]
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(found), 65_536):
-        part = np.array(found[at : at + 65_536], dtype=">u8")
-        ones += np.unpackbits(part.view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(found)).tobytes(), "big")
+        return digest(b" ".join(words), SEED)
+    ones, n = np.zeros(64, np.int64), len(words) - SHINGLE + 1
+    for at in range(0, n, 65_536):  # so many shingles at a time
+        part = words[at : at + 65_536 + SHINGLE - 1]
+        whole = b" ".join(part)
+        lengths = np.fromiter(map(len, part), np.int64, len(part))
+        ends = np.cumsum(lengths + 1) - 1
+        starts = (ends - lengths)[: 1 - SHINGLE].tolist()
+        found = np.array([digest(whole[s:e], SEED) for s, e in zip(starts, ends[SHINGLE - 1 :].tolist(), strict=True)], dtype=">u8")
+        ones += np.unpackbits(found.view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
 def _signed(values: list[int]) -> pa.Array:
@@ -50,7 +52,7 @@ def _fingerprints(batches):
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): the 64 bits of each whole text as a signed long."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), common.text_of(text_col).alias("text"))
-    return rows.mapInArrow(_fingerprints, "id long, fp long")
+    return rows.mapInArrow(common.task("simhash", _fingerprints), "id long, fp long")
 
 
 def segment_counts(fp: np.ndarray) -> np.ndarray:
@@ -147,39 +149,65 @@ def split_hot(cells: DataFrame, limit: int) -> DataFrame:
 
 
 def fingerprint_groups(fps: DataFrame) -> DataFrame:
-    """(fp, component) for each distinct fingerprint of fps (id, fp); component is the smallest id reachable by links."""
-    reps = common.cut(fps.groupBy("fp").agg(F.min("id").alias("node")), "reps")
-    cells = common.cut(reps.where("node is not null").mapInArrow(_cells, "cell long, node long, fp long"), "cells")
+    """(fp, group, component_id) for each distinct fingerprint of fps (id, fp): group is the smallest fingerprint reachable
+    by links, component_id the smallest id that has a fingerprint of the group (null if only null ids have).
+
+    Fingerprints are the nodes, so rows that share an id and no fingerprint aren't linked by it.
+    """
+    reps = common.cut(fps.groupBy("fp").agg(F.min("id").alias("least")), "reps")
+    cells = common.cut(reps.select(F.col("fp").alias("node"), "fp").mapInArrow(_cells, "cell long, node long, fp long"), "cells")
     placed = split_hot(cells, CELL).repartition("cell", "part").sortWithinPartitions("cell", "part")
     links = placed.select("cell", "part", "node", "fp").mapInArrow(_links, "u long, v long")
     components = common.connected_components(links)
-    return reps.join(components, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    groups = common.cut(reps.join(components, reps["fp"] == components["node"], "left").select("fp", F.coalesce("component", "fp").alias("group"), "least"), "groups")
+    least = groups.groupBy("group").agg(F.min("least").alias("component_id"))
+    return groups.select("fp", "group").join(least, "group")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id), a row per row of docs.
 
     A null or empty text, or one of white space, has fingerprint zero and links like any other. Rows that repeat keep a
-    row each. Rows with a null id keep their fingerprint; their component is that of their fingerprint's other rows,
-    null if there are none (a fingerprint held by null ids alone starts no links). An empty table gives no rows.
+    row each. Rows with a null id keep their fingerprint, which links like any other; their component is the smallest
+    id of their group, null if it has none. An empty table gives no rows.
     """
     fps = common.cut(fingerprints(docs, id_col, text_col), "fingerprints")
-    groups = fingerprint_groups(fps)
-    return fps.join(groups, "fp", "left").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = fps.join(fingerprint_groups(fps), "fp", "left")
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group with all its columns: the one with the smallest id.
+    """One document of each group with all its columns: the one with the smallest (id, fingerprint).
 
-    Of repeated rows of that document one stays. Rows with a null id can't be named as members; they all stay.
+    Rows are told apart by id and fingerprint: of rows that share an id, each counts in its own group. Of rows that
+    repeat both one stays, that with the smallest hash of its text. Rows with a null id can't be named as members; they
+    all stay. Where ids don't repeat, the shorter of the lists of kept and of removed ids travels to the texts.
     """
-    found = common.cut(near_duplicates(docs, id_col, text_col), "near")
-    first = common.cut(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("keep__")).count(), "first")
+    fps = common.cut(fingerprints(docs, id_col, text_col), "fingerprints")
+    known = fps.where("id is not null").groupBy("id", "fp").agg(F.count(F.lit(1)).alias("n")).join(fingerprint_groups(fps), "fp")
+    known = common.cut(known.select("group", "id", "fp", "n"), "near")
+    first = known.groupBy("group").agg(F.min(F.struct("id", "fp")).alias("first")).select("first.*", F.lit(True).alias("first"))
     own = F.col(id_col).cast("long")
-    kept = docs.join(first.where("count = 1"), own == F.col("keep__"), "left_semi")
-    repeated = first.where("count > 1")
-    if repeated.limit(1).count():
-        kept = kept.unionByName(docs.join(repeated, own == F.col("keep__"), "left_semi").dropDuplicates([id_col]))
-    if found.where("doc_id is null").limit(1).count():
-        kept = kept.unionByName(docs.where(own.isNull()))
-    return kept
+    by_id = known.join(first, ["id", "fp"], "left").groupBy("id").agg(F.sum("n").alias("rows"), F.bool_or(F.coalesce("first", F.lit(False))).alias("kept"))
+    by_id = common.cut(by_id, "decided")
+    told = by_id.agg(F.count_if(F.expr("rows > 1 and kept")), F.count_if("kept"), F.count_if(~F.col("kept"))).first()
+    repeated, kept, removed = (int(x or 0) for x in told)
+    keep = by_id.where("kept and rows = 1").select(F.col("id").alias("id__"))
+    lost = by_id.where("not kept or rows > 1").select(F.col("id").alias("id__"))
+    if removed + repeated < kept:
+        stay = docs.join(common.maybe_broadcast(lost, removed + repeated), own == F.col("id__"), "left_anti")
+    else:
+        stay = docs.join(common.maybe_broadcast(keep, kept), own == F.col("id__"), "left_semi")
+        if fps.where("id is null").limit(1).count():
+            stay = stay.unionByName(docs.where(own.isNull()))
+    if not repeated:
+        return stay
+    again = by_id.where("kept and rows > 1").select(F.col("id").alias("id__"))
+    again = docs.join(common.maybe_broadcast(again, repeated), own == F.col("id__"), "left_semi")
+    # the fingerprint is computed once more, for rows of repeated ids alone
+    fingerprint_of = F.pandas_udf(lambda texts: pd.Series(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)), "long")
+    again = again.withColumn("fp__", fingerprint_of(common.text_of(text_col)))
+    again = again.join(first.select(F.col("id").alias("id__"), F.col("fp").alias("first__")), (own == F.col("id__")) & (F.col("fp__") == F.col("first__")), "left_semi")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    one = again.groupBy(own.alias("id__"), "fp__").agg(F.min_by(whole, F.struct(F.xxhash64(common.text_of(text_col)), F.xxhash64(F.to_json(whole)))).alias("row__"))
+    return stay.unionByName(one.select("row__.*"))

@@ -77,3 +77,14 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in common.connected_components(spark.createDataFrame(edges, "u long, v long").repartition(4)).collect()}
     assert all(got[i] == i - i % 100 for i in range(400) if i % 100) and all(c == 1000 for n, c in got.items() if n > 1000)
     assert common.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_repeated_ids_count_in_their_own_groups(spark):
+    a, b, c = "alpha beta gamma delta epsilon zeta", "quite another text about entirely different things", "a third one that shares no words"
+    rows = [(1, a), (5, a), (5, b), (7, b), (9, c), (9, c)]
+    got = sorted(map(tuple, simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == [(1, a), (5, b), (9, c)]
+    alone = sorted(map(tuple, simhash.deduplicate(spark.createDataFrame([(5, a), (5, b)], "doc_id long, text string")).collect()))
+    assert alone == [(5, a), (5, b)]
+    found = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[5, f"{simhash.fingerprint(a):016x}"] == 1 and found[7, f"{simhash.fingerprint(b):016x}"] == 5
