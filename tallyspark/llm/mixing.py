@@ -11,21 +11,36 @@ WEIGHTS, SHARE, MOST, SEED = (5.0, 2.0, 1.0), 1.5, 2.0, 42
 WORD = r"[^\x20\x09-\x0D]+"
 #: Ranks have 52 bits: 4096 bins of 4096 bins of single ranks.
 _BITS, _BIN = 52, 12
+#: The lowest bits of a rank tell rows apart that repeat a document.
+_TIE = 12
 
 
 def size_of(text_col: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def rank_of(size: Column, *identity: str, seed: int = SEED) -> Column:
-    """A document's Pareto rank: its random odds divided by its inclusion odds, mapped in order to 52 bits.
+def measure_of(size: Column) -> Column:
+    """The size measure that inclusion probabilities are proportional to: it falls with the doublings of the size, so
+    that long documents are rarer. It has at most 64 values, whose index is class_of(size)."""
+    return F.lit(1.0) / (class_of(size) + 1)
 
-    The random number is a hash of the document, so reruns agree. Inclusion odds fall with the logarithm of the size
-    (long documents are rarer), times a constant of the source, which doesn't change the order within it.
+
+def class_of(size: Column) -> Column:
+    return F.floor(F.log2(size + F.lit(1))).cast("int")
+
+
+def rank_of(probability: Column, identity: str, place: str, seed: int = SEED) -> Column:
+    """A row's Pareto rank: random odds u / (1 - u) divided by inclusion odds p / (1 - p), mapped in order to 52 bits.
+
+    u is a hash of the document's identity, so reruns agree; a certain document (p = 1) has rank 0. The lowest bits come
+    from the row's place and tell repeated rows apart.
     """
-    u = (F.pmod(F.xxhash64(F.lit(seed), *identity), F.lit(1 << 50)) + F.lit(0.5)) / F.lit(float(1 << 50))
-    q = u / (1 - u) * F.log(F.lit(2.718281828459045) + size)
-    return F.least(F.floor(q / (1 + q) * F.lit(float(1 << _BITS))), F.lit((1 << _BITS) - 1)).cast("long")
+    u = (F.pmod(F.xxhash64(F.lit(seed), identity), F.lit(1 << 50)) + F.lit(0.5)) / F.lit(float(1 << 50))
+    odds = u * (1 - probability) / ((1 - u) * probability)
+    share = F.when(probability >= 1, F.lit(0.0)).when(probability <= 0, F.lit(1.0)).otherwise(odds / (1 + odds))
+    top = F.least(F.floor(share * F.lit(float(1 << (_BITS - _TIE)))), F.lit((1 << (_BITS - _TIE)) - 1)).cast("long")
+    tie = F.pmod(F.xxhash64(F.lit(seed), place), F.lit(1 << _TIE))
+    return F.when(probability >= 1, F.lit(0).cast("long")).otherwise(F.shiftleft(top, _TIE) + tie)
 
 
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -48,16 +63,38 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SH
     return own.select("source", "source_size", F.when(F.col("full"), F.col("limit")).otherwise((F.col("total") - spent) * F.col("weight") / open_weight).alias("target"))
 
 
-def sample_plan(sizes: DataFrame, **targets) -> DataFrame:
+def with_whole(plan: DataFrame) -> DataFrame:
+    """Adds whole, the copies of every document that are certain, and need, the words still wanted after them."""
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
+    return plan.withColumn("whole", whole).withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
+
+
+def inclusion(sizes: DataFrame, plan: DataFrame) -> DataFrame:
+    """(source, scale): a document's inclusion probability is min(1, scale * measure_of(size)), and the probabilities times
+    sizes sum to the source's need.
+
+    Classes of sizes with the largest measures become certain first: scale is need less the words of the certain
+    classes, over the sum of measure times words of the others, for the fewest certain classes that leave no other above
+    1. A source has at most 64 classes, so the windows are small however many documents it has.
+    """
+    classes = sizes.groupBy("source", class_of(F.col("size")).alias("class")).agg(F.sum("size").alias("words"))
+    own = plan.select(F.col("source").alias("source_"), "need")
+    classes = classes.join(own, F.col("source").eqNullSafe(F.col("source_"))).where("words > 0")
+    rising = Window.partitionBy("source").orderBy("class")
+    certain = F.coalesce(F.sum("words").over(rising.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum(F.col("words") / (F.col("class") + 1)).over(rising.rowsBetween(0, Window.unboundedFollowing))
+    tried = classes.withColumn("scale", (F.col("need") - certain) / rest)
+    fits = tried.where(F.col("scale") <= F.col("class") + 1)
+    return fits.groupBy("source").agg(F.min_by("scale", "class").alias("scale")).select("source", F.greatest("scale", F.lit(0.0)).alias("scale"))
+
+
+def sample_plan(sizes: DataFrame, plan: DataFrame) -> DataFrame:
     """(source, source_size, target, whole, cut): every document of the source is taken whole times, and once more if its
     rank is at most cut.
 
-    sizes has (source, size, rank). Words are summed in bins of ranks, then in bins of the bin where the target falls,
+    sizes has (source, size, rank), plan the targets with whole and need. Words are summed in bins of ranks, then in bins of the bin where the target falls,
     then by single ranks; no task gets a source's rows together. cut leaves the words taken nearest to the target.
     """
-    plan = source_targets(sizes, **targets)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
-    plan = plan.withColumn("whole", whole).withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
     plan = common.cut(plan.withColumn("base", F.lit(0).cast("long")).withColumn("low", F.lit(0).cast("long")), "targets")
     n = plan.count()
     grown = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -86,12 +123,23 @@ def sample_plan(sizes: DataFrame, **targets) -> DataFrame:
     return common.cut(plan, "plan")
 
 
-def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, **targets) -> tuple[DataFrame, DataFrame, int]:
-    size = size_of(text_col)
-    sizes = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), rank_of(size, id_col, text_col).alias("rank"))
-    sizes = common.cut(sizes, "sizes")
-    plan = sample_plan(sizes, **targets)
-    return sizes, plan.withColumnRenamed("source", "source_"), plan.count()
+def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, place) -> DataFrame:
+    sizes = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size_of(text_col).alias("size"), F.xxhash64(id_col, text_col).alias("identity"), place.alias("place"))
+    return common.cut(sizes, "sizes")
+
+
+def _planned(sizes: DataFrame, **targets) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(doc_id, source, size, rank) of every row, each source's plan, its inclusion scale, and the number of sources."""
+    own = common.cut(with_whole(source_targets(sizes, **targets)), "own")
+    n = own.count()
+    scales = common.cut(inclusion(sizes, own).withColumnRenamed("source", "source_"), "scales")
+    ranked = sizes.join(common.maybe_broadcast(scales, n), F.col("source").eqNullSafe(F.col("source_")), "left")
+    ranked = common.cut(ranked.select("doc_id", "source", "size", rank_of(probability_of(F.col("scale"), F.col("size")), "identity", "place").alias("rank")), "ranked")
+    return ranked, sample_plan(ranked, own).withColumnRenamed("source", "source_"), scales, n
+
+
+def probability_of(scale: Column, size: Column) -> Column:
+    return F.least(F.lit(1.0), F.coalesce(scale, F.lit(0.0)) * measure_of(size))
 
 
 def _copies() -> Column:
@@ -101,20 +149,28 @@ def _copies() -> Column:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **targets) -> DataFrame:
     """(doc_id, size, source_size, target, taken): a row per row of docs.
 
-    Null texts have size 0 and take nothing. A null source is a source of its own, last. Repeated rows share their rank
-    and so are taken or left together. An empty table, or one without words, has targets of 0.
+    Null texts have size 0 and take nothing. A null source is a source of its own, last. Repeated rows have the same
+    random odds; ties are broken by the rows' places. An empty table, or one without words, has targets of 0.
     """
-    sizes, plan, n = _planned(docs, id_col, text_col, source_col, **targets)
-    joined = sizes.join(common.maybe_broadcast(plan, n), F.col("source").eqNullSafe(F.col("source_")))
+    ranked, plan, _, n = _planned(_sizes(docs, id_col, text_col, source_col, F.monotonically_increasing_id()), **targets)
+    joined = ranked.join(common.maybe_broadcast(plan, n), F.col("source").eqNullSafe(F.col("source_")))
     return joined.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), (_copies() * F.col("size")).cast("long").alias("taken"), _copies().cast("int").alias("copies"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **targets) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, with all columns. Texts are not shuffled."""
-    _, plan, n = _planned(docs, id_col, text_col, source_col, **targets)
-    size = size_of(text_col)
-    names = {c: f"{c}__" for c in ("source_", "source_size", "target", "whole", "cut")}
-    plan = plan.withColumnsRenamed(names)
-    joined = docs.withColumn("rank__", rank_of(size, id_col, text_col)).join(common.maybe_broadcast(plan, n), F.col(source_col).cast("string").eqNullSafe(F.col("source___")))
-    copies = F.col("whole__") + F.when(F.col("rank__") <= F.col("cut__"), 1).otherwise(0)
-    return joined.withColumn("copy__", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*docs.columns)
+    """The mix itself: each row of docs as often as it is taken, with all columns. Texts are not shuffled.
+
+    Ranks are computed again where the texts are; if documents repeat, the rows are written with their places first.
+    """
+    columns, place = docs.columns, F.lit(0).cast("long")
+    sizes = _sizes(docs, id_col, text_col, source_col, place)
+    if sizes.groupBy("identity").count().where("count > 1").limit(1).count():
+        docs, place = common.cut(docs.withColumn("place__", F.monotonically_increasing_id()), "placed"), F.col("place__")
+        sizes = _sizes(docs, id_col, text_col, source_col, place)
+    _, plan, scales, n = _planned(sizes, **targets)
+    plan = plan.join(common.maybe_broadcast(scales.withColumnRenamed("source_", "other_"), n), F.col("source_").eqNullSafe(F.col("other_")), "left")
+    plan = plan.select(*(F.col(c).alias(f"{c}__") for c in ("source_", "whole", "cut", "scale")))
+    joined = docs.withColumn("identity__", F.xxhash64(id_col, text_col)).withColumn("place__", place).withColumn("size__", size_of(text_col)).join(common.maybe_broadcast(plan, n), F.col(source_col).cast("string").eqNullSafe(F.col("source___")))
+    rank = rank_of(probability_of(F.col("scale__"), F.col("size__")), "identity__", "place__")
+    copies = F.col("whole__") + F.when(rank <= F.col("cut__"), 1).otherwise(0)
+    return joined.withColumn("copy__", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*columns)

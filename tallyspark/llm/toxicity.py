@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,8 +21,10 @@ SAMPLE = 6_000
 LEAST, CHI2, FEATURES = 3, 15.0, 20_000
 BEGINNINGS = (4, 5, 6)
 THRESHOLD, L2, COUNTERFACTUAL, STEPS = 0.7, 0.002, 1.0, 400
+#: A worker keeps the weighed features of so many distinct words, some 200 bytes each.
+SEEN = 100_000
 
-#: Identity terms that may be swapped for one another, by group.
+#: Identity terms that may be swapped for one another, by group, in English, German, French and Spanish.
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys"),
     ("woman", "man", "girl", "boy"),
@@ -30,6 +34,24 @@ IDENTITY_TERMS = (
     ("black", "white", "asian", "latino", "arab", "african", "european", "american", "mexican", "chinese"),
     ("immigrants", "refugees", "foreigners", "natives", "locals"),
     ("disabled", "blind", "deaf", "autistic"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("schwul", "lesbisch", "bisexuell", "hetero", "queer"),
+    ("muslime", "christen", "juden", "buddhisten", "hindus", "atheisten", "katholiken"),
+    ("schwarze", "weiße", "asiaten", "araber", "afrikaner", "türken", "polen"),
+    ("einwanderer", "flüchtlinge", "ausländer", "einheimische"),
+    ("behinderte", "blinde", "gehörlose", "autisten"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("gays", "lesbiennes", "bisexuels", "hétérosexuels"),
+    ("musulmans", "chrétiens", "juifs", "bouddhistes", "hindous", "athées", "catholiques"),
+    ("noirs", "blancs", "asiatiques", "arabes", "africains", "européens"),
+    ("immigrés", "réfugiés", "étrangers", "autochtones"),
+    ("handicapés", "aveugles", "sourds", "autistes"),
+    ("mujeres", "hombres", "chicas", "chicos"),
+    ("homosexuales", "lesbianas", "bisexuales", "heterosexuales"),
+    ("musulmanes", "cristianos", "judíos", "budistas", "hindúes", "ateos", "católicos"),
+    ("negros", "blancos", "asiáticos", "árabes", "africanos", "europeos"),
+    ("inmigrantes", "refugiados", "extranjeros", "nativos"),
+    ("discapacitados", "ciegos", "sordos", "autistas"),
 )
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -58,7 +80,7 @@ class Model:
         weights, bias = self.weights, self.bias
 
         def of(part: str) -> tuple:
-            if len(seen) > 150_000:
+            if len(seen) > SEEN:
                 seen.clear()
             found = seen[part] = tuple({f for w in ((part,) if part.isalpha() else _WORD.findall(part)) for f in features_of(w) if f in weights})
             return found
@@ -79,9 +101,31 @@ def counterfactuals(words: set[str], groups: tuple = IDENTITY_TERMS) -> list[set
     return [words - {w} | {group[(i + 1) % len(group)]} for group in groups for i, w in enumerate(group) if w in words]
 
 
+def mentions(groups: tuple = IDENTITY_TERMS) -> list[tuple[str, str]]:
+    """Each group's terms in pairs, as a template "<sentence> <term>" swaps them in any labelled sentence."""
+    return [(term, group[(i + 1) % len(group)]) for group in groups for i, term in enumerate(group)]
+
+
+def with_mentions(rows: list[tuple[tuple[str, ...], int]], groups: tuple = IDENTITY_TERMS) -> list[tuple[tuple[str, ...], int]]:
+    """The labelled rows and, for every toxic one and as many others, the row with a neutral mention added by the template
+    "<sentence> <term>", the label unchanged: so the terms are features that are weighed, and the penalty acts on them.
+    The terms come in turn."""
+    terms = [t for g in groups for t in g]
+    toxic = [x for x in rows if x[1]]
+    clean = [x for x in rows if not x[1]]
+    chosen = toxic + clean[:: max(1, len(clean) // max(1, len(toxic)))][: len(toxic)] if terms else []
+    return rows + [((*words, terms[i % len(terms)]), y) for i, (words, y) in enumerate(chosen)]
+
+
 def fit(rows: list[tuple[tuple[str, ...], int]], groups: tuple = IDENTITY_TERMS, counterfactual: float = COUNTERFACTUAL) -> Model:
-    """Logistic regression on presence of features, with a penalty on squared changes of score (log-odds) between a
-    labelled row and its counterfactuals. Without both labels: a constant score of the labels' share."""
+    """Logistic regression on presence of features, with a penalty on squared changes of score (log-odds).
+
+    Two kinds of change are penalised: between a labelled sentence and itself with an identity term swapped, and, for
+    every labelled sentence whether or not it holds a term, between the sentence and itself with a neutral mention of a
+    group added, and between two such mentions. Scores being linear in features, the changes of the second kind are the
+    same for all sentences that don't hold the term's features, and are computed once, with the weight of all sentences.
+    Word beginnings that terms share with other words are held back in this way too. Without both labels: a constant
+    score of the labels' share."""
     labels = np.array([y for _, y in rows], dtype=np.float64)
     share = (labels.sum() + 1) / (len(labels) + 2) if len(labels) else 0.0
     if not len(labels) or labels.min() == labels.max():
@@ -114,6 +158,10 @@ def fit(rows: list[tuple[tuple[str, ...], int]], groups: tuple = IDENTITY_TERMS,
 
     row, column = matrix([w for w, _ in rows])
     swaps = [(words, other) for words, _ in rows for other in counterfactuals(set(words), groups)]
+    pairs = mentions(groups)
+    templates = [({a}, {b}) for a, b in pairs] + [({a}, set()) for a, _ in pairs]
+    share_of = np.concatenate([np.full(len(swaps), 1 / max(1, len(swaps))), np.full(len(templates), 1 / max(1, len(templates)))])
+    swaps += templates
     row_a, column_a = matrix([a for a, _ in swaps])
     row_b, column_b = matrix([b for _, b in swaps])
     k = len(chosen)
@@ -127,7 +175,7 @@ def fit(rows: list[tuple[tuple[str, ...], int]], groups: tuple = IDENTITY_TERMS,
         slope = np.bincount(column, error[row], minlength=k) + L2 * w / np.sqrt(n)
         if swaps:
             change = np.bincount(row_a, w[column_a], minlength=len(swaps)) - np.bincount(row_b, w[column_b], minlength=len(swaps))
-            change *= 2 * counterfactual / len(swaps)
+            change *= 2 * counterfactual * share_of
             slope += np.bincount(column_a, change[row_a], minlength=k) - np.bincount(column_b, change[row_b], minlength=k)
         g = np.append(slope, error.sum())
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
@@ -142,7 +190,7 @@ def held_out(id_col: str = "doc_id"):
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, **options) -> Model:
     """Fit on labelled rows that aren't held out. Rows without a label of 0 or 1 take no part; of several labels of one id
-    the highest counts; of rows that repeat each counts."""
+    the highest counts; of rows that repeat an id each counts, up to twice the sample in all, in the order of hashed ids."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).cast("long").alias("id__")).agg(F.max("toxic").alias("toxic__"))
     chosen = known.join(docs.select(F.col(id_col).cast("long").alias("id__")).distinct(), "id__", "left_semi").orderBy(F.xxhash64("id__"), "id__").limit(sample)
     chosen = common.cut(chosen, "labelled")
@@ -152,11 +200,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), pa.array([" ".join(sorted(words_of(x))) for x in batch.column("text").to_pylist()], pa.string())], ["id", "toxic", "words"])
 
-    found = rows.select(F.col("id__").alias("id"), F.col("toxic__").cast("int").alias("toxic"), "text").mapInArrow(run, "id long, toxic int, words string")
+    found = rows.select(F.col("id__").alias("id"), F.col("toxic__").cast("int").alias("toxic"), "text").mapInArrow(run, "id long, toxic int, words string").orderBy(F.xxhash64("id"), "id", "words")
     # words are shared between rows: the sample takes some 10 KB a row on the driver
     known_words: dict[str, str] = {}
     kept = [(tuple(known_words.setdefault(w, w) for w in r["words"].split()), r["toxic"]) for r in found.limit(2 * sample).toLocalIterator()]
-    return fit(sorted(kept, key=lambda x: (x[1], len(x[0]), x[0][:20])), **options)
+    return fit(with_mentions(sorted(kept, key=lambda x: (x[1], len(x[0]), x[0][:20])), options.get("groups", IDENTITY_TERMS)), **options)
 
 
 _scorers: dict[str, object] = {}
@@ -167,7 +215,6 @@ def _scorer(name: str, held):
     if name not in _scorers:
         _scorers.clear()
         _scorers[name] = held.value.scorer()
-    common.claim("toxicity", _scorers.clear)
     return _scorers[name]
 
 
@@ -176,8 +223,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     told, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     @F.pandas_udf("double")
-    def scores(texts):
-        return texts.map(_scorer(name, told)).astype("float64")
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        run = common.task("toxicity", lambda parts: (x.map(_scorer(name, told)).astype("float64") for x in parts), _scorers.clear)
+        yield from run(batches)
 
     return docs.withColumn(out, scores(common.text_of(text_col)))
 

@@ -1,5 +1,6 @@
 import hashlib
 import json
+import math
 import re
 from collections import defaultdict
 
@@ -56,6 +57,40 @@ def test_mixing(spark):
     assert all(abs(taken[s] - want[s]) <= most / 2 + 1 for s in sizes)
 
 
+def test_mixing_is_a_pareto_sample(spark):
+    docs = common.table(spark, SF, "documents")
+    sizes = mixing._sizes(docs, "doc_id", "text", "source", F.monotonically_increasing_id())
+    ranked, plan, scales, _ = mixing._planned(sizes)
+    scale = {r["source_"]: r["scale"] for r in scales.collect()}
+    plans = {r["source_"]: r for r in plan.collect()}
+    u = {r[0]: r[1] for r in docs.select("doc_id", ((F.pmod(F.xxhash64(F.lit(mixing.SEED), F.xxhash64("doc_id", "text")), F.lit(1 << 50)) + 0.5) / float(1 << 50))).collect()}
+    by_source = defaultdict(list)
+    for r in ranked.collect():
+        by_source[r["source"]].append(r)
+    for source, rows in by_source.items():
+        own = plans[source]
+        need = own["target"] - own["whole"] * own["source_size"]
+        measure = {r["doc_id"]: 1 / (math.floor(math.log2(r["size"] + 1)) + 1) for r in rows}
+        p = {r["doc_id"]: min(1, scale.get(source, 0) * measure[r["doc_id"]]) for r in rows}
+        if need > 1e-6:
+            assert abs(sum(p[r["doc_id"]] * r["size"] for r in rows) - need) < 1e-6 * need
+        # a document is taken if its random odds over its inclusion odds are among the least that meet the need
+        q = {r["doc_id"]: 0 if p[r["doc_id"]] >= 1 else u[r["doc_id"]] / (1 - u[r["doc_id"]]) * (1 - p[r["doc_id"]]) / max(p[r["doc_id"]], 1e-300) for r in rows}
+        took = [r for r in rows if r["rank"] <= own["cut"]]
+        left = [r for r in rows if r["rank"] > own["cut"] and r["size"]]
+        assert not took or not left or max(q[r["doc_id"]] for r in took if r["size"]) <= min(q[r["doc_id"]] for r in left) * (1 + 1e-6)
+
+
+def test_mixing_breaks_ties_of_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "one two three", "a")] * 40 + [(2, "x", "b")] * 200, "doc_id long, text string, source string")
+    rows = mixing.mix(docs).collect()
+    target, taken = {r["doc_id"]: r["target"] for r in rows}, defaultdict(int)
+    for r in rows:
+        taken[r["doc_id"]] += r["taken"]
+    assert all(abs(taken[k] - target[k]) <= 3 for k in target)
+    assert mixing.mixed(docs).count() == sum(r["copies"] for r in rows)
+
+
 def test_mixing_odd(spark, odd_docs, no_docs):
     rows = mixing.mix(odd_docs).collect()
     assert len(rows) == odd_docs.count() and all(r["taken"] == 0 for r in rows if r["size"] == 0)
@@ -69,7 +104,7 @@ def test_mixing_odd(spark, odd_docs, no_docs):
 
 def slow_spans(text):
     good = {"email": lambda m: True, "ip": lambda m: all(int(p) <= 255 for p in m.split(".")), "card": lambda m: 13 <= len(re.sub(r"\D", "", m)) <= 19 and pii.luhn(re.sub("[^0-9]", "", m)), "phone": lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15}
-    patterns = {"email": pii._EMAIL, "ip": pii._IP, "card": pii._CARD, "phone": pii._PHONE}
+    patterns = {"email": pii._EMAIL, "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), "card": pii._CARD, "phone": pii._PHONE}
     return [f"{k}:{m.start()}:{m.end()}" for k in pii.KINDS for m in patterns[k].finditer(text) if good[k](m[0])]
 
 
@@ -96,6 +131,32 @@ def test_contexts_discover_identifiers(spark):
     assert {r["doc_id"]: r["text"] for r in pii._redacted_by_join(docs, "text", "doc_id").collect()} == clean
 
 
+def test_secrets_are_found_by_what_stands_before_them(spark):
+    rng = np.random.default_rng(3)
+    key = lambda: "".join(rng.choice(list("0123456789abcdef"), 40))
+    rows = [(i, f"some words token = \"{key()}\" and more") for i in range(12)]
+    rows += [(50, "other words token = \"Zx99-11_22\" then"), (51, f"commit {key()} alone"), (52, "order 12345678 of the 1999 list"), (53, "of the 77777 list")]
+    rows += [(100 + i, "of the ordinary words in the list") for i in range(30)]
+    got = {r["doc_id"]: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i]["spans"] == "secret:20:60" and got[i]["n_spans"] == 1 for i in range(12))
+    assert got[50]["spans"] == "secret:21:31" and not any(got[i]["spans"] for i in (51, 52, 53))
+
+
+def test_contexts_on_the_table_add_spans(spark):
+    found = pii.find(common.table(spark, "/root/testdata/sf0.01", "documents"))
+    assert found.selectExpr("sum(size(more))").first()[0] >= 10
+
+
+def test_hostile_texts_end_soon():
+    import time
+
+    start = time.perf_counter()
+    for text in ("a" * 1_000_000, "1" * 1_000_000, "1." * 500_000, "+1" * 300_000, "@" * 500_000, "a@" * 500_000, "\u6f22" * 1_000_000 + "1234"):
+        base = [(k, s, e) for k, x in pii.base_spans(text).items() for s, e in x]
+        list(pii.occurrences(text, base))
+    assert time.perf_counter() - start < 20
+
+
 def test_personal_data_odd(spark, odd_docs, no_docs):
     assert pii.personal_data(odd_docs).count() == odd_docs.count() and pii.personal_data(no_docs).count() == 0
     kept = pii.redacted(odd_docs)
@@ -188,6 +249,24 @@ def test_bpe_of_odd_white_space():
         assert ids.tolist() == OWN.encode_ordinary(text) and codec.decode(ids) == text.encode()
 
 
+# toxicity on the table
+
+
+def test_held_out_quality_and_penalty(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")
+    rows = toxicity.classify(docs, labels).where("held_out").join(labels.select("doc_id", "toxic"), "doc_id").collect()
+    toxic = [r for r in rows if r["toxic"] == 1]
+    clean = [r for r in rows if r["toxic"] == 0]
+    assert len(toxic) > 50 and sum(r["predicted"] for r in toxic) >= 0.7 * len(toxic) and sum(r["predicted"] for r in clean) <= 0.02 * len(clean)
+    wins = sum((a["score"] > b["score"]) + 0.5 * (a["score"] == b["score"]) for a in toxic for b in clean)
+    assert wins / (len(toxic) * len(clean)) > 0.93
+    fair, plain = (toxicity.train(docs, labels, counterfactual=c) for c in (1.0, 0.0))
+    terms = {t for g in toxicity.IDENTITY_TERMS for t in g}
+    size = lambda m: sum(w * w for f, w in m.weights.items() if f in terms)
+    assert size(plain) > 0 and size(fair) < 0.5 * size(plain)
+
+
 # tool calls
 
 
