@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..operators import archive, dedup, deltas, filters, hierarchy, pricing, reports, series, sessions
 from ..sources import bridge
+from . import readers
 
 # SQL side ------------------------------------------------------------------------------------------------------------
 
@@ -293,3 +294,6 @@ def _stream(which, spark, sf_dir):
 
 add("stream_session_window", partial(_stream, "sessions"))
 add("stream_minute_rollup", partial(_stream, "minutes"))
+
+for _name, _query in readers.queries(USAGE)[0].items():
+    add(_name, _query, readers.queries(USAGE)[1][_name])
