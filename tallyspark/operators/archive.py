@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,10 +26,12 @@ def canonical(revisions: DataFrame, most: int = 4) -> DataFrame:
 
 
 def rollup(priced: DataFrame, step_ms: int = 60_000) -> DataFrame:
-    """Sums by minute and for all time (period 1 and 0), with the number of events; a row feeds both periods once."""
-    both = priced.withColumn("period", F.explode(F.array(F.lit(0), F.lit(1))))
-    bucket = F.when(F.col("period") == 1, safe.floor_div(F.col("ts_ms"), step_ms) * step_ms).otherwise(F.lit(0)).alias("bucket_ms")
-    return both.groupBy("period", bucket, *KEYS).agg(*(safe.sat_sum(F.col(c)).alias(c) for c in MEASURES), F.count(F.lit(1)).alias("events"))
+    """Sums by minute and for all time (period 1 and 0), with the number of events; the minutes are summed for all time."""
+    bucket = (safe.floor_div(F.col("ts_ms"), step_ms) * step_ms).alias("bucket_ms")
+    sums = [safe.sat_sum(F.col(c)).alias(c) for c in MEASURES]
+    minutes = priced.groupBy(bucket, *KEYS).agg(*sums, F.count(F.lit(1)).alias("events"))
+    both = minutes.withColumn("period", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("bucket_ms", F.when(F.col("period") == 1, F.col("bucket_ms")).otherwise(F.lit(0).cast("long")))
+    return both.groupBy("period", "bucket_ms", *KEYS).agg(*sums, F.sum("events").alias("events"))
 
 
 def apply_changes(rollups: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
@@ -36,7 +39,107 @@ def apply_changes(rollups: DataFrame, before: DataFrame, after: DataFrame) -> Da
     minus = rollup(before).withColumns({c: -F.col(c) for c in (*MEASURES, "events")})
     keys = ["period", "bucket_ms", *KEYS]
     whole = rollups.unionByName(minus).unionByName(rollup(after))
-    return whole.groupBy(*keys).agg(*(F.sum(c).cast("long").alias(c) for c in (*MEASURES, "events"))).where("events <> 0")
+    return whole.groupBy(*keys).agg(*(safe.sat_sum(F.col(c)).alias(c) for c in (*MEASURES, "events"))).where("events <> 0")
+
+
+def hashes(revisions: DataFrame, version: int = 1) -> DataFrame:
+    """Adds accounting_hash, of 15 parts of a fact, and revision_hash, of it and the cost if that is reported."""
+    flag = lambda c: F.col(c).cast("int").cast("string")
+    parts = [F.lit("accounting-fact"), F.lit(str(version)), *(F.col(c) for c in ("client", "provider", "model", "ts_ms", "input", "output", "cache_read", "cache_write", "reasoning")), F.coalesce("duration_ms", F.lit(-1)), F.col("message_count"), flag("is_turn_start"), flag("model_conflicted")]
+    cost = F.when(F.col("cost_source") == "reported", F.col("reported_nanos").cast("string")).otherwise("no-reported-cost")
+    own = revisions.withColumn("accounting_hash", safe.identity(*parts))
+    return own.withColumn("revision_hash", safe.identity(F.lit("revision-v1"), F.lit(str(version)), F.col("accounting_hash"), cost))
+
+
+def first_observation(revisions: DataFrame, most: int = 4) -> DataFrame:
+    """Of each event (event) the revisions that are kept, with selected: the accounting that was seen first, by hash if
+    several were; of its rows reported costs, then the generation, then the hash. At most so many are kept: the selected
+    one and the oldest others."""
+    own = revisions.withColumn("first__", F.min("generation").over(Window.partitionBy("event", "accounting_hash")))
+    reported = (F.col("cost_source") != "reported").cast("int")
+    best = Window.partitionBy("event").orderBy("first__", "accounting_hash", reported, "generation", "revision_hash")
+    own = own.withColumn("selected", F.row_number().over(best) == 1)
+    kept = Window.partitionBy("event").orderBy(F.col("selected").desc(), "generation", "revision_hash")
+    return own.withColumn("place", F.row_number().over(kept)).where(F.col("place") <= most).drop("first__", "place")
+
+
+_COUNTS = ("input", "output", "cache_read", "cache_write", "reasoning", "message_count")
+
+
+def completed(revisions: DataFrame) -> DataFrame:
+    """(event, revision_hash, conflict) of streamed records, whose counts only grow: generation by generation, the revision
+    that extends all others of its generation and the one selected before; else it is a conflict and the one before stays.
+
+    revisions: (event, revision_hash, generation, cost_rank, reported_nanos, duration_ms, same, ...counts), where same
+    stands for all that mustn't change. An event has few revisions (see first_observation), which one task compares.
+    """
+
+    def extends(later: dict, earlier: dict) -> bool:
+        rank = lambda r: (r["duration_ms"] is not None, r["duration_ms"] or 0)
+        cost = earlier["cost_rank"] == 0 or later["cost_rank"] == 2 and later["reported_nanos"] == earlier["reported_nanos"]
+        return later["same"] == earlier["same"] and all(later[c] >= earlier[c] for c in _COUNTS) and (later["is_turn_start"] or not earlier["is_turn_start"]) and rank(later) >= rank(earlier) and cost
+
+    def choose(rows):
+        found = rows.astype(object).where(rows.notna(), None).to_dict("records")
+        now, conflict = None, False
+        for generation in sorted({r["generation"] for r in found}):
+            group = [r for r in found if r["generation"] == generation]
+            if now is not None and not all(extends(r, now) for r in group):
+                conflict = True
+                continue
+            top = sorted((r for r in group if all(extends(r, x) for x in group)), key=lambda r: (-r["cost_rank"], r["revision_hash"]))
+            if top:
+                now = top[0]
+            else:
+                conflict = True
+                now = now or min(group, key=lambda r: r["revision_hash"])
+        return pd.DataFrame([(now["event"], now["revision_hash"], conflict)], columns=["event", "revision_hash", "conflict"])
+
+    return revisions.groupBy("event").applyInPandas(choose, "event string, revision_hash string, conflict boolean")
+
+
+def resolve(fresh: DataFrame, identities: DataFrame) -> DataFrame:
+    """fresh (identity, confidence, alias, accounting) with event and how it was found: an identity that is known is the
+    same event; else an alias with equal accounting attaches to its event, one with other accounting collides and makes
+    a new event; else the only known event with equal accounting and another confidence is merged; else it is new.
+
+    identities: (event, identity, confidence, alias, accounting).
+    """
+    by_id = identities.groupBy("identity").agg(F.min("event").alias("same"))
+    by_alias = identities.where("alias is not null").groupBy("alias").agg(F.min(F.struct("event", "accounting")).alias("a")).select("alias", F.col("a.event").alias("kin"), F.col("a.accounting").alias("told"))
+    twins = identities.groupBy("accounting").agg(F.count_distinct("event").alias("n"), F.min("event").alias("twin"), F.max("confidence").alias("trust")).where("n = 1").drop("n")
+    own = fresh.join(by_id, "identity", "left").join(by_alias, "alias", "left").join(twins, "accounting", "left")
+    attached, apart = F.col("kin").isNotNull() & F.col("told").eqNullSafe(F.col("accounting")), F.col("twin").isNotNull() & (F.col("trust") != F.col("confidence"))
+    how = F.when(F.col("same").isNotNull(), "known").when(attached, "alias").when(F.col("kin").isNotNull(), "collision").when(apart, "twin").otherwise("new")
+    event = F.when(how == "known", F.col("same")).when(how == "alias", F.col("kin")).when(how == "twin", F.col("twin")).otherwise(F.col("identity"))
+    return own.select(*fresh.columns, event.alias("event"), how.alias("how"))
+
+
+def conflicts(revisions: DataFrame) -> DataFrame:
+    """(event, conflict): whether an event's revisions differ in accounting, streamed ones excepted, or in reported cost."""
+    cost = F.when(F.col("cost_source") == "reported", F.col("reported_nanos"))
+    streamed = F.bool_and((F.col("client") == "claude") | F.col("client").startswith("cc-mirror/"))
+    differ = lambda c: F.coalesce(F.min(c) != F.max(c), F.lit(False))
+    return revisions.groupBy("event").agg(((differ("accounting_hash") & ~streamed) | differ(cost)).alias("conflict"))
+
+
+def capture(state: DataFrame, batch: DataFrame) -> DataFrame:
+    """(client, first_ms, last_ms): what is known of each client's time of capture, widened by a batch's rows."""
+    own = batch.groupBy("client").agg(F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"))
+    return state.unionByName(own).groupBy("client").agg(F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"))
+
+
+def forget(priced: DataFrame, ranges: list[tuple[int, int]]) -> DataFrame:
+    """The rollups rebuilt without the events of the ranges."""
+    from . import filters
+
+    return rollup(filters.outside_ranges(priced, ranges))
+
+
+def counters(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(events, tokens, reported, added, removed) of the archive after a batch, from events (fact_id, tokens, cost_source)."""
+    both = before.select("fact_id", F.lit(1).alias("b")).join(after.select("fact_id", "tokens", "cost_source", F.lit(1).alias("a")), "fact_id", "full_outer")
+    return both.agg(F.count("a").alias("events"), safe.sat_sum(F.col("tokens")).alias("tokens"), F.count_if(F.col("cost_source") == "reported").alias("reported"), F.count_if(F.col("b").isNull()).alias("added"), F.count_if(F.col("a").isNull()).alias("removed"))
 
 
 def merge(stored: DataFrame, fresh: DataFrame, key: str = "fact_id", order: str = "event_id") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -19,19 +19,26 @@ def latest(usage: DataFrame, group: str = "session_id", time: str = "ts_ms", key
     return usage.withColumn("n__", F.row_number().over(w)).where("n__ = 1").drop("n__")
 
 
+def _own_key(key: str, order: str) -> Column:
+    """The key, or one of a row's own where it has none: such rows are never merged."""
+    return F.coalesce(F.nullif(F.col(key), F.lit("")), F.concat(F.lit("\0"), F.col(order).cast("string")))
+
+
 def max_merge(usage: DataFrame, key: str = "dedup_key", order: str = "event_id") -> DataFrame:
-    """One row per key: the greatest of each count and of the duration, other columns of the first row."""
+    """One row per key: the greatest of each count and of the duration, other columns of the first row. Rows without a key
+    all stay."""
     counts = ("input", "output", "cache_read", "cache_write", "reasoning", "duration_ms")
-    rest = [c for c in usage.columns if c not in counts and c != key]
-    return usage.where(F.col(key).isNotNull()).groupBy(key).agg(*(F.max(c).alias(c) for c in counts), *(F.min_by(c, order).alias(c) for c in rest))
+    rest = [c for c in usage.columns if c not in counts]
+    found = usage.groupBy(_own_key(key, order).alias("k__")).agg(*(F.max(c).alias(c) for c in counts), *(F.min_by(c, order).alias(c) for c in rest))
+    return found.select(*usage.columns)
 
 
 def reported_cost_wins(usage: DataFrame, key: str = "dedup_key", order: str = "event_id") -> DataFrame:
-    """The first row of each key, with the cost of the key's first row that reports one, if there is such."""
+    """The first row of each key, with the cost of the key's first row that reports one, if there is such. Rows without a
+    key all stay as they are."""
     reported = F.when(F.col("cost_source") == "reported", F.struct(F.col(order), "reported_nanos"))
-    best = F.min(reported).over(Window.partitionBy(key))
-    own = usage.where(F.col(key).isNotNull()).withColumn("best__", best)
-    own = first_wins(own, key, order)
+    best = F.min(reported).over(Window.partitionBy(_own_key(key, order)))
+    own = first_wins(usage.withColumn("best__", best), key, order)
     return own.withColumn("reported_nanos", F.coalesce("best__.reported_nanos", "reported_nanos")).withColumn("cost_source", F.when(F.col("best__").isNotNull(), "reported").otherwise(F.col("cost_source"))).drop("best__")
 
 

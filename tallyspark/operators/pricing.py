@@ -98,3 +98,41 @@ def exclusions(usage: DataFrame, catalogue: dict = CATALOGUE) -> DataFrame:
     own = priced(usage, catalogue).where(~F.col("is_covered"))
     known = F.col("model").isin(*catalogue) if catalogue else F.lit(False)
     return own.groupBy("provider", "model").agg(F.sum("message_count").cast("long").alias("messages"), F.sum(tokens).alias("tokens"), F.max(F.when(known, "missing rate").otherwise("unknown model")).alias("reason"))
+
+
+RATES = ("input", "output", "cache")
+
+
+def borrowed(rows: DataFrame) -> DataFrame:
+    """rows (model, hint, rates) of a provider's own, with missing rates from the model's row without a hint, if all rates
+    that both quote agree to 1e-9."""
+    plain = rows.where("hint is null").select("model", *(F.col(r).alias(f"plain_{r}") for r in RATES))
+    own = rows.where("hint is not null").join(plain, "model", "left")
+    agree = F.lit(True)
+    for r in RATES:
+        agree = agree & (F.col(r).isNull() | F.col(f"plain_{r}").isNull() | (F.abs(F.col(r) - F.col(f"plain_{r}")) <= 1e-9))
+    return own.select("model", "hint", *(F.coalesce(r, F.when(agree, F.col(f"plain_{r}"))).alias(r) for r in RATES))
+
+
+def with_surcharge(priced_rows: DataFrame, provider: str) -> DataFrame:
+    """Estimates of one hosted provider's requests cost 1.1 times as much, where they cost anything."""
+    more = (F.col("provider") == provider) & (F.col("cost_source") != "reported") & (F.col("cost_nanos") > 0)
+    return priced_rows.withColumn("cost_nanos", F.when(more, F.floor(F.col("cost_nanos") * 11 / 10).cast("long")).otherwise(F.col("cost_nanos")))
+
+
+def with_custom(usage: DataFrame, custom: dict[str, int], otherwise: int) -> DataFrame:
+    """Prices that the user set win over all others: (.., nanos) of the input at a rate a token."""
+    rate = F.lit(otherwise)
+    for model, nanos in custom.items():
+        rate = F.when(F.col("model") == model, nanos).otherwise(rate)
+    return usage.withColumn("nanos", F.col("input") * rate)
+
+
+def by_policy(usage: DataFrame, policy: str, estimate: str) -> DataFrame:
+    """nanos by a client's policy: always the estimate, the estimate where nothing or where nothing authoritative was
+    reported, or only what was reported."""
+    told, guess, rule = F.col("reported_nanos"), F.col(estimate), F.col(policy)
+    return usage.withColumn(
+        "nanos",
+        F.when(rule == "reprice", guess).when(rule == "fill_non_positive", F.when(told > 0, told).otherwise(guess)).when(rule == "fill_non_authoritative", F.when(F.col("cost_source") == "reported", told).otherwise(guess)).otherwise(told).cast("long"),
+    )

@@ -1,17 +1,18 @@
 """Activity intervals: sessions by idle gap, their totals, the longest run, concurrency, time per day.
 
-Questions about all sessions at once are answered in two levels: within a day by a window on the day, between days by
-what each day carries over. No task holds more than a day's intervals.
+Questions about all sessions at once are answered in two levels: within a minute by a window on the minute, between
+minutes by what each carries over, that in turn within a day and between days. No task holds more than a minute's
+intervals or a day's minutes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import safe
 
-GAP_MS, DAY_MS = 180_000, 86_400_000
+GAP_MS, DAY_MS, PART_MS = 180_000, 86_400_000, 60_000
 _PAST = Window.unboundedPreceding
 
 
@@ -34,22 +35,28 @@ def time_totals(intervals: DataFrame) -> DataFrame:
     return groups.agg(F.coalesce(F.sum("ms"), F.lit(0)).cast("long").alias("wall_ms"), F.coalesce(F.sum(F.greatest("n", F.lit(1))), F.lit(0)).cast("long").alias("sessions"))
 
 
-def _day(ms: str) -> Column:
-    return safe.floor_div(F.col(ms), DAY_MS)
+def _carried(parts: DataFrame, value: str, how) -> DataFrame:
+    """(part, before): how (F.max or F.sum) of value over all parts (part, value) before; parts are minutes."""
+    own = parts.withColumn("day__", safe.floor_div(F.col("part"), DAY_MS // PART_MS))
+    days = own.groupBy("day__").agg(how(value).alias("v__"))
+    days = days.select("day__", how("v__").over(Window.orderBy("day__").rowsBetween(_PAST, -1)).alias("before_day"))
+    inside = how(value).over(Window.partitionBy("day__").orderBy("part").rowsBetween(_PAST, -1))
+    both = own.withColumn("inside", inside).join(days, "day__")
+    whole = F.greatest("inside", "before_day") if how is F.max else F.coalesce("inside", F.lit(0)) + F.coalesce("before_day", F.lit(0))
+    return both.select("part", whole.alias("before"))
 
 
 def longest_run(intervals: DataFrame, gap_ms: int = GAP_MS) -> DataFrame:
     """(longest_ms): intervals of all sessions with some length, merged where the gap is small."""
-    own = intervals.where("start_ms > 0 and wall_ms > 0").select("start_ms", "end_ms", _day("start_ms").alias("day"))
-    carried = own.groupBy("day").agg(F.max("end_ms").alias("top"))
-    carried = carried.select("day", F.max("top").over(Window.orderBy("day").rowsBetween(_PAST, -1)).alias("before"))
-    order = Window.partitionBy("day").orderBy("start_ms", "end_ms")
-    own = own.join(carried, "day").withColumn("latest", F.greatest("before", F.max("end_ms").over(order.rowsBetween(_PAST, -1))))
-    heads = own.where(F.col("latest").isNull() | (F.col("start_ms") > F.col("latest") + gap_ms)).select("day", "start_ms", "latest")
+    own = intervals.where("start_ms > 0 and wall_ms > 0").select("start_ms", "end_ms", safe.floor_div(F.col("start_ms"), PART_MS).alias("part"))
+    carried = _carried(own.groupBy("part").agg(F.max("end_ms").alias("top")), "top", F.max)
+    order = Window.partitionBy("part").orderBy("start_ms", "end_ms")
+    own = own.join(carried, "part").withColumn("latest", F.greatest("before", F.max("end_ms").over(order.rowsBetween(_PAST, -1))))
+    heads = own.where(F.col("latest").isNull() | (F.col("start_ms") > F.col("latest") + gap_ms)).select("part", "start_ms", "latest")
     # a run ends where the next one starts: at the latest end seen until then; the last at the latest of all
-    runs = heads.groupBy("day").agg(F.max("start_ms").alias("last")).select("day", F.max("last").over(Window.orderBy("day").rowsBetween(_PAST, -1)).alias("carried"))
-    inner = F.lag("start_ms").over(Window.partitionBy("day").orderBy("start_ms"))
-    closed = heads.join(runs, "day").withColumn("head", F.coalesce(inner, F.col("carried"))).where("head is not null").select((F.col("latest") - F.col("head")).alias("ms"))
+    runs = _carried(heads.groupBy("part").agg(F.max("start_ms").alias("last")), "last", F.max)
+    inner = F.lag("start_ms").over(Window.partitionBy("part").orderBy("start_ms"))
+    closed = heads.join(runs, "part").withColumn("head", F.coalesce(inner, F.col("before"))).where("head is not null").select((F.col("latest") - F.col("head")).alias("ms"))
     final = own.agg(F.max("end_ms").alias("e")).crossJoin(heads.agg(F.max("start_ms").alias("s"))).select((F.col("e") - F.col("s")).alias("ms"))
     return closed.union(final).agg(F.coalesce(F.max("ms"), F.lit(0)).alias("longest_ms"))
 
@@ -58,11 +65,10 @@ def max_concurrent(intervals: DataFrame) -> DataFrame:
     """(max_concurrent): starts count before ends at the same time; an interval without length lasts 1 ms."""
     own = intervals.where("start_ms > 0").select("start_ms", F.greatest("end_ms", F.col("start_ms") + 1).alias("end_ms"))
     marks = own.select(F.explode(F.array(F.struct(F.col("start_ms").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end_ms").alias("at"), F.lit(-1).alias("d")))).alias("m"))
-    marks = marks.groupBy(F.col("m.at").alias("at"), F.col("m.d").alias("d")).agg(F.sum("m.d").alias("n")).withColumn("day", _day("at"))
-    carried = marks.groupBy("day").agg(F.sum("n").alias("net"))
-    carried = carried.select("day", F.coalesce(F.sum("net").over(Window.orderBy("day").rowsBetween(_PAST, -1)), F.lit(0)).alias("before"))
-    order = Window.partitionBy("day").orderBy("at", F.col("d").desc()).rowsBetween(_PAST, 0)
-    return marks.join(carried, "day").select((F.col("before") + F.sum("n").over(order)).alias("n")).agg(F.greatest(F.coalesce(F.max("n"), F.lit(0)), F.lit(0)).cast("long").alias("max_concurrent"))
+    marks = marks.groupBy(F.col("m.at").alias("at"), F.col("m.d").alias("d")).agg(F.sum("m.d").alias("n")).withColumn("part", safe.floor_div(F.col("at"), PART_MS))
+    carried = _carried(marks.groupBy("part").agg(F.sum("n").alias("net")), "net", F.sum)
+    order = Window.partitionBy("part").orderBy("at", F.col("d").desc()).rowsBetween(_PAST, 0)
+    return marks.join(carried, "part").select((F.coalesce("before", F.lit(0)) + F.sum("n").over(order)).alias("n")).agg(F.greatest(F.coalesce(F.max("n"), F.lit(0)), F.lit(0)).cast("long").alias("max_concurrent"))
 
 
 def daily_active(intervals: DataFrame, zone: str = "UTC") -> DataFrame:

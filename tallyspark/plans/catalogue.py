@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..operators import archive, dedup, deltas, filters, hierarchy, pricing, reports, series, sessions
 from ..sources import bridge
-from . import readers
+from . import more, readers
 
 # SQL side ------------------------------------------------------------------------------------------------------------
 
@@ -176,8 +176,8 @@ add("unpriced_exclusions", over(usage, pricing.exclusions), f"WITH {PRICED} SELE
 
 add("first_wins", over(usage, lambda u: _brief(dedup.first_wins(u))), f"WITH {USAGE} SELECT {_B} FROM usage WHERE dedup_key IS NULL UNION ALL SELECT {_B} FROM (SELECT * FROM usage WHERE dedup_key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dedup_key ORDER BY event_id) = 1)")
 add("latest_per_session", over(usage, lambda u: _brief(dedup.latest(u))), f"WITH {USAGE} SELECT {_B} FROM usage QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY ts_ms DESC, dedup_key DESC NULLS LAST, event_id DESC) = 1")
-add("max_merge", over(usage, lambda u: dedup.max_merge(u).select("dedup_key", "event_id", "input", "output", "cache_read", "duration_ms")), f"WITH {USAGE} SELECT dedup_key, min(event_id) AS event_id, max(input) AS input, max(output) AS output, max(cache_read) AS cache_read, max(duration_ms) AS duration_ms FROM usage WHERE dedup_key IS NOT NULL GROUP BY dedup_key")
-add("authoritative_cost_fill", over(usage, lambda u: dedup.reported_cost_wins(u).select("event_id", "cost_source", "reported_nanos")), f"WITH {USAGE}, b AS (SELECT *, min(event_id) FILTER (cost_source = 'reported') OVER (PARTITION BY dedup_key) AS r, row_number() OVER (PARTITION BY dedup_key ORDER BY event_id) AS n FROM usage WHERE dedup_key IS NOT NULL) SELECT event_id, CASE WHEN r IS NULL THEN cost_source ELSE 'reported' END AS cost_source, coalesce(r % 1000 * 1000000, reported_nanos) AS reported_nanos FROM b WHERE n = 1")
+add("max_merge", over(usage, lambda u: dedup.max_merge(u).select("dedup_key", "event_id", "input", "output", "cache_read", "duration_ms")), f"WITH {USAGE} SELECT dedup_key, min(event_id) AS event_id, max(input) AS input, max(output) AS output, max(cache_read) AS cache_read, max(duration_ms) AS duration_ms FROM usage GROUP BY dedup_key, CASE WHEN dedup_key IS NULL THEN event_id END")
+add("authoritative_cost_fill", over(usage, lambda u: dedup.reported_cost_wins(u).select("event_id", "cost_source", "reported_nanos")), f"WITH {USAGE}, b AS (SELECT *, min(event_id) FILTER (cost_source = 'reported') OVER (PARTITION BY k) AS r, row_number() OVER (PARTITION BY k ORDER BY event_id) AS n FROM (SELECT *, coalesce(dedup_key, 'none' || event_id) AS k FROM usage)) SELECT event_id, CASE WHEN r IS NULL THEN cost_source ELSE 'reported' END AS cost_source, coalesce(r % 1000 * 1000000, reported_nanos) AS reported_nanos FROM b WHERE n = 1")
 add("session_anti_join", over(usage, lambda u: _brief(dedup.not_covered_by(u.where("client = 'codex'"), u.where("client = 'claude' and date >= '2024-01-29'"), "session_id"))), f"WITH {USAGE} SELECT {_B} FROM usage WHERE client = 'codex' AND session_id NOT IN (SELECT session_id FROM usage WHERE client = 'claude' AND date >= '2024-01-29')")
 add("multiset_anti", over(usage, lambda u: _brief(dedup.multiset_anti(u.where("client = 'codex'"), u.where("client = 'claude'"), ["session_id", "date"]))), f"WITH {USAGE}, n AS (SELECT *, row_number() OVER (PARTITION BY session_id, date ORDER BY event_id) AS n FROM usage WHERE client = 'codex') SELECT {_B} FROM n WHERE n > (SELECT count(*) FROM usage u WHERE u.client = 'claude' AND u.session_id = n.session_id AND u.date = n.date)")
 add("tolerance_match", over(usage, lambda u: dedup.within_tolerance(u.where("client = 'codex'"), u.where("client = 'claude'"), ["model"], 5000)), f"WITH {USAGE} SELECT a.event_id AS left_id, b.event_id AS right_id, abs(a.ts_ms - b.ts_ms) AS apart FROM usage a JOIN usage b ON a.model = b.model AND abs(a.ts_ms - b.ts_ms) <= 5000 WHERE a.client = 'codex' AND b.client = 'claude'")
@@ -297,3 +297,6 @@ add("stream_minute_rollup", partial(_stream, "minutes"))
 
 for _name, _query in readers.queries(USAGE)[0].items():
     add(_name, _query, readers.queries(USAGE)[1][_name])
+
+for _name, (_query, _sql) in more.queries(USAGE, PRICED).items():
+    add(_name, _query, _sql)

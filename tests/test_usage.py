@@ -1,5 +1,6 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tallyspark.functions import names, safe
@@ -128,3 +129,44 @@ def test_logs(spark, tmp_path):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_deep_and_wide_trees(spark):
+    chain = spark.range(10_000).selectExpr("id as node", "if(id = 0, null, id - 1) as parent")
+    got = hierarchy.descendants(spark, chain).agg(F.max("depth"), F.count(F.lit(1)), F.max("root")).first()
+    assert tuple(got) == (9_999, 10_000, 0)
+    wide = spark.range(2_000_000).selectExpr("id as node", "if(id = 0, null, id div 3) as parent").where("node = 0 or node <> parent")
+    assert hierarchy.descendants(spark, wide).count() == 2_000_000
+    rows = [(1, None), (2, 1), (3, 4), (4, 3), (5, 4), (6, 99)]
+    loops = spark.createDataFrame(rows, "node long, parent long")
+    assert sorted(map(tuple, hierarchy.descendants(spark, loops).collect())) == [(1, 1, 0), (1, 2, 1)]
+    ordered = hierarchy.tree_order(loops.withColumn("position", F.col("node"))).orderBy("path").collect()
+    assert [(r["node"], r["depth"]) for r in ordered] == [(1, 0), (2, 1), (3, 0), (4, 0), (5, 1), (6, 0)]
+
+
+def test_rows_without_keys_are_never_merged(spark):
+    u = spark.createDataFrame([(1, None, 5, "reported", 7), (2, None, 6, "estimated", 0), (3, "", 1, "estimated", 0), (4, "k", 1, "estimated", 0), (5, "k", 9, "reported", 3)], "event_id long, dedup_key string, input long, cost_source string, reported_nanos long")
+    u = u.withColumns({c: F.lit(0).cast("long") for c in ("output", "cache_read", "cache_write", "reasoning", "duration_ms")})
+    assert sorted((r["event_id"], r["input"]) for r in dedup.max_merge(u).collect()) == [(1, 5), (2, 6), (3, 1), (4, 9)]
+    assert sorted((r["event_id"], r["reported_nanos"], r["cost_source"]) for r in dedup.reported_cost_wins(u).collect()) == [(1, 7, "reported"), (2, 0, "estimated"), (3, 0, "estimated"), (4, 3, "reported")]
+
+
+def test_sweeps_over_minutes(spark):
+    import random
+
+    rng = random.Random(4)
+    spans = [(s := rng.randrange(1, 20_000_000), s + rng.choice([0, 1, 59_999, 400_000])) for _ in range(400)]
+    own = spark.createDataFrame([(a, b, b - a) for a, b in spans], "start_ms long, end_ms long, wall_ms long")
+    marks = sorted([(a, 0, 1) for a, b in spans] + [(max(b, a + 1), 1, -1) for a, b in spans])
+    now = most = 0
+    for _, _, d in marks:
+        now += d
+        most = max(most, now)
+    assert sessions.max_concurrent(own).first()[0] == most
+    best, top, head = 0, None, None
+    for a, b in sorted(x for x in spans if x[1] > x[0]):
+        if top is None or a > top + sessions.GAP_MS:
+            head, top = a, b
+        top = max(top, b)
+        best = max(best, top - head)
+    assert sessions.longest_run(own).first()[0] == best
