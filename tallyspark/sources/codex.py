@@ -61,6 +61,9 @@ def increment(total: Counts | None, last: Counts | None, before: Counts | None)
 
 
 def _ms(text) -> int | None:
+    """Milliseconds of a time with a zone, or of a number of seconds or milliseconds."""
+    if isinstance(text, int | float) and text > 0:
+        return int(text if text >= 1e12 else text * 1000)
     try:
         found = datetime.fromisoformat(text)
     except (TypeError, ValueError):
