@@ -21,20 +21,28 @@ LEAF_ROWS = 2048
 #: A vector is in a dense group if it links with more of the sample than a leaf holds, and with so many at least.
 DENSE = 8
 SEED = 20240917
+#: The precision of keys by their first byte.
+WIDTHS = {"f": "<f4", "d": "<f8"}
+#: Leaves of so many times the rows that a leaf should have are split on where they are, in rounds over the cluster.
+OVERFULL = 4
 
 
-def _keys(batches):
-    """Canonical bytes of each vector's finite non-zero components; null for vectors that link with nothing."""
-    for batch in batches:
-        keys = []
-        for vector in batch.column("vector").to_pylist():
-            key = None
-            if vector and None not in vector:
-                x = np.array(vector, dtype=np.float64)
-                if np.isfinite(x).all() and x.any():
-                    key = (x + 0.0).tobytes()
-            keys.append(key)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(keys, pa.binary())], ["id", "key"])
+def _keys(kind: str):
+    def run(batches):
+        """Canonical bytes of each vector's finite non-zero components, of the table's own precision (kind), named by their
+        first byte; null for vectors that link with nothing."""
+        for batch in batches:
+            keys = []
+            for vector in batch.column("vector").to_pylist():
+                key = None
+                if vector and None not in vector:
+                    x = np.array(vector, dtype=np.float64)
+                    if np.isfinite(x).all() and x.any():
+                        key = kind.encode() + (x + 0.0).astype(WIDTHS[kind]).tobytes()
+                keys.append(key)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(keys, pa.binary())], ["id", "key"])
+
+    return run
 
 
 @dataclass
@@ -83,7 +91,12 @@ def fit_forest(unit: np.ndarray, rows: int, trees: int = TREES, leaf: int = LEAF
 
 
 def _matrix(keys) -> np.ndarray:
-    return np.frombuffer(b"".join(keys), np.float64).reshape(len(keys), -1)
+    """The vectors in double precision, each times the power of two that brings its largest component near 1: cosines are
+    the same, and no norm overflows or vanishes."""
+    raw = np.frombuffer(b"".join(keys), np.uint8).reshape(len(keys), -1)
+    kind = WIDTHS[chr(raw[0, 0])] if len(raw) else "<f8"
+    whole = np.ascontiguousarray(raw[:, 1:]).view(kind).astype(np.float64)
+    return np.ldexp(whole, -np.frexp(np.abs(whole).max(axis=1, keepdims=True))[1]) if whole.size else whole
 
 
 def _pairs(node: np.ndarray, keys: list, similarity: float):
@@ -256,8 +269,9 @@ def links_of_dense(classes: DataFrame, centres: np.ndarray, similarity: float) -
 
 def vector_classes(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame]:
     """Keys of all rows (id, key), and a row per distinct vector (node = smallest id, copies, key)."""
+    kind = "f" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "d"
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    keys = common.cut(rows.mapInArrow(_keys, "id long, key binary"), "vectors")
+    keys = common.cut(rows.mapInArrow(common.task("forest", _keys(kind)), "id long, key binary"), "vectors")
     classes = keys.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"))
     return keys, common.cut(classes, "classes")
 
@@ -271,7 +285,9 @@ def links_of_classes(classes: DataFrame, similarity: float = SIMILARITY, trees:
     """Links of classes (node, key, copies) that have at least that cosine: pairs (u, v), u < v, that share a leaf of some
     tree, and (u, v, more) of dense groups (see links_of_dense), which no tree takes apart.
 
-    Vectors of different length never share a leaf. Nothing that shares a leaf is left out, however large the leaf.
+    Vectors of different length never share a leaf. Nothing that shares a leaf is left out, however large the leaf. The
+    trees are fitted to a sample; leaves that are too large for it are split on where they are. Components of any size
+    from the smallest to the largest double count: vectors are scaled first.
     """
     spark = classes.sparkSession
     sizes = [r[0] for r in classes.select(F.length("key").alias("n")).distinct().orderBy("n").collect()]
@@ -297,7 +313,8 @@ def links_of_classes(classes: DataFrame, similarity: float = SIMILARITY, trees:
                     for row, t, leaf in told.value.leaves(whole / np.linalg.norm(whole, axis=1, keepdims=True)):
                         yield pa.RecordBatch.from_arrays([pa.array(leaf * TREES_MOST + t), part.column("node").take(pa.array(row)), part.column("key").take(pa.array(row))], ["cell", "node", "key"])
 
-        placed = simhash.split_hot(common.cut(own.select("node", "key").mapInArrow(place, "cell long, node long, key binary"), "leaves"), LEAF_ROWS)
+        leaves = common.cut(own.select("node", "key").mapInArrow(common.task("forest", place), "cell long, node long, key binary"), "leaves")
+        placed = simhash.split_hot(split_on(leaves, OVERFULL * max(leaf, 1), spill), LEAF_ROWS)
         links = placed.select("cell", "part", "node", "key").repartition("cell", "part").sortWithinPartitions("cell", "part")
         found = found.union(links.mapInArrow(_leaf_links(similarity), "u long, v long").distinct())
     return found, dense
@@ -306,6 +323,55 @@ def links_of_classes(classes: DataFrame, similarity: float = SIMILARITY, trees:
 TREES_MOST = 1024
 
 
+def _shadows(seed: int):
+    """Each row's projection on its cell's own random direction."""
+
+    def run(batches):
+        for batch in batches:
+            whole = _matrix(batch.column("key").to_pylist())
+            cell, x = batch.column("cell").to_numpy(), np.empty(batch.num_rows)
+            unit = whole / np.linalg.norm(whole, axis=1, keepdims=True) if len(whole) else whole
+            for c in np.unique(cell):
+                rng = np.random.default_rng([seed, int(np.uint64(np.int64(c).view(np.uint64)))])
+                own = cell == c
+                x[own] = unit[own] @ rng.standard_normal(unit.shape[1])
+            yield pa.RecordBatch.from_arrays([batch.column("cell"), batch.column("node"), batch.column("key"), pa.array(x)], ["cell", "node", "key", "x"])
+
+    return run
+
+
+def split_on(leaves: DataFrame, most: int, spill: float = SPILL, seed: int = SEED, rounds: int = 40) -> DataFrame:
+    """leaves (cell, node, key) with cells of over most rows split at their medians, with spill, until none is left that a
+    split makes smaller. Each round rewrites only the rows of such cells; nothing but cells' sizes is gathered."""
+    done = None
+    for turn in range(rounds):
+        sizes = common.cut(leaves.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "sizes")
+        big = sizes.where(F.col("n") > most)
+        n = big.count()
+        if not n:
+            break
+        small = leaves.join(common.maybe_broadcast(big, n), "cell", "left_anti")
+        done = small if done is None else done.unionByName(small)
+        told = leaves.join(common.maybe_broadcast(big, n), "cell").select("cell", "node", "key").mapInArrow(_shadows(seed + turn), "cell long, node long, key binary, x double")
+        told = common.cut(told, "shadows")
+        cuts = told.groupBy("cell").agg(F.percentile_approx("x", [0.5 - spill, 0.5 + spill], 1000).alias("q"), F.count(F.lit(1)).alias("n"))
+        cuts = cuts.select("cell", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "n")
+        own = told.join(common.maybe_broadcast(common.cut(cuts, "cuts"), n), "cell")
+        sides = F.array_compact(F.array(F.when((F.col("x") <= F.col("high")) | (F.col("x") <= F.col("low")), 0), F.when(F.col("x") > F.col("low"), 1)))
+        own = own.withColumn("side", F.explode(sides))
+        counts = own.groupBy("cell", "side").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n"))
+        # a cell that a split doesn't make smaller stays whole; its rows are compared in parts
+        stuck = counts.groupBy("cell").agg(F.max(F.col("m") / F.col("n")).alias("share")).where("share > 0.9").select("cell", F.lit(True).alias("stuck"))
+        stuck = common.cut(stuck, "stuck")
+        m = stuck.count()
+        own = own.join(common.maybe_broadcast(stuck, m), "cell", "left")
+        whole = own.where("stuck").select("cell", "node", "key").distinct()
+        done = done.unionByName(whole) if m else done
+        child = F.pmod(F.xxhash64("cell", "side", F.lit(turn)), F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+        leaves = common.cut(own.where("stuck is null").select(child.alias("cell"), "node", "key"), "leaves")
+    return leaves if done is None else done.unionByName(leaves)
+
+
 def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", similarity: float = SIMILARITY, **forest) -> DataFrame:
     """(vec_id, n_links, component_id, kept): a row per row of vectors.
 

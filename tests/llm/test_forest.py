@@ -85,3 +85,41 @@ def test_dense_groups_in_parts_beside_each_other(spark, monkeypatch):
     got = {r["vec_id"]: r["n_links"] for r in forest.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), leaf=24).collect()}
     good, links = brute(rows)
     assert len(centres) > 1 and all(got[k] == len(links[k]) for k in dense)
+
+
+def test_very_large_and_small_components_link(spark):
+    rows = [(1, [1e200, 0.0]), (2, [2e200, 0.0]), (3, [1e-200, 0.0]), (4, [2e-200, 1e-300]), (5, [1.0, 0.0]), (6, [0.0, 5e-324]), (7, [0.0, 1.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in forest.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (4, 1), 2: (4, 1), 3: (4, 1), 4: (4, 1), 5: (4, 1), 6: (1, 6), 7: (1, 6)}
+
+
+def test_recall_of_planted_pairs_at_depths():
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((10_000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.standard_normal(base.shape)
+    side -= (side * base).sum(1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    for cosine, least in ((0.92, 0.99), (0.9001, 0.98)):
+        near = cosine * base + np.sqrt(1 - cosine**2) * side
+        unit = np.concatenate([base, near])
+        for depth in (9, 11):
+            trees = forest.fit_forest(unit[:: 2], 192 << depth)
+            assert len(trees.cuts[0]) == min(depth, forest._depth(10_000, 192 << depth, 192))
+            met = np.zeros(10_000, bool)
+            for row, _, leaf in trees.leaves(unit):
+                pairs = row * (1 << 20) + leaf
+                first, second = pairs[row < 10_000], pairs[row >= 10_000] - (10_000 << 20)
+                met[np.unique(np.intersect1d(first, second) >> 20)] = True
+            assert met.mean() >= least, (cosine, depth, met.mean())
+
+
+def test_leaves_that_the_sample_can_not_split_are_split_on(spark):
+    rng = np.random.default_rng(9)
+    own = rng.standard_normal((3_000, 16))
+    keys = [b"d" + x.astype("<f8").tobytes() for x in own]
+    leaves = spark.createDataFrame([(5, i, bytearray(k)) for i, k in enumerate(keys)] + [(6, i, bytearray(keys[0])) for i in range(500)] + [(7, 1, bytearray(keys[1]))], "cell long, node long, key binary")
+    got = forest.split_on(leaves, 200)
+    sizes = {r["cell"]: r["count"] for r in got.groupBy("cell").count().collect()}
+    assert sizes[6] == 500 and sizes[7] == 1 and 5 not in sizes and max(n for c, n in sizes.items() if c != 6) <= 200
+    assert got.where("cell not in (6, 7)").select("node").distinct().count() == 3_000
