@@ -249,6 +249,49 @@ def test_bpe_of_odd_white_space():
         assert ids.tolist() == OWN.encode_ordinary(text) and codec.decode(ids) == text.encode()
 
 
+def test_article_text_is_kept_whole():
+    text = style_tree.main_text
+    assert text('<article><h1>T</h1><p class="related work">a</p><p class="notice">b</p><div class="social science">c</div><div class="ad">buy</div></article>') == "T\na\nb\nc"
+    assert text("<article>teaser</article><div class=story><p>A much longer body than that</p></div>") == "teaser\nA much longer body than that"
+    assert text("<p>a\u2003\u3000b\x1cc</p>") == "a b c"
+    assert text('<p>x<a href="y>z</a> w</p><p>v') == "xz w\nv" and text("<p title=a\"b>x</p>") == "x" and text("<a 'b>x</a>") == "x"
+
+
+def test_hostile_pages_end_soon():
+    import time
+
+    start = time.perf_counter()
+    for page in ('<a "' * 50_000, "<div>" * 50_000 + "x", "<b>" * 20_000 + "<p>x</p>" * 20_000, "<div>" * 20_000 + "</section>" * 20_000, '<a x="' * 50_001, "<!--" * 100_000, "<" * 100_000, "<a x= " * 50_000, "</" * 100_000, "<p>" * 50_000):
+        style_tree.main_text(page)
+        style_tree.styles_of(page)
+    assert time.perf_counter() - start < 30
+
+
+def test_trees_of_the_table_hold_all_nodes(spark):
+    pages = common.table(spark, SF, "pages")
+    nodes = pages.select("url", common.text_of("html").alias("html")).mapInArrow(style_tree._nodes, style_tree._NODES).distinct()
+    slow = set()
+    for r in pages.collect():
+        blocks = [(b.path, x) for b in style_tree.blocks_of(r["html"] or "") if (x := style_tree.block_text(b))]
+        page = style_tree._digest("\n".join(f"{p}\n{x}" for p, x in blocks))
+        slow |= {(style_tree._host(r["url"]), p, False, style_tree._digest(x), page) for p, x in blocks}
+        slow |= {(style_tree._host(r["url"]), p, True, style_tree._digest(x), page) for p, found in style_tree.styles_of(r["html"] or "").items() for x in found}
+    assert set(map(tuple, nodes.collect())) == slow and len(slow) > 1_000
+    assert any("nav" in x[1] for x in slow) and any("article" in x[1] for x in slow)
+    want = {}
+    for host, path in {x[:2] for x in slow if not x[2]}:
+        own = [x for x in slow if x[:2] == (host, path)]
+        texts, shapes = [x for x in own if not x[2]], [x for x in own if x[2]]
+        n = len({x[4] for x in texts})
+        count = lambda rows: [sum(x[3] == f for x in rows) for f in {x[3] for x in rows}]
+        base = math.log(max(n, 2))
+        content = 1 - sum(c * math.log(c) for c in count(texts)) / len(texts) / base
+        shape = min(1, max(0, sum(-c / len(shapes) * math.log(c / len(shapes)) for c in count(shapes)) / base)) if shapes else 0
+        want[host, path] = style_tree.GAMMA * content + (1 - style_tree.GAMMA) * shape
+    got = {(r["host"], r["path"]): r["importance"] for r in style_tree.importance(nodes).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 # toxicity on the table
 
 
@@ -275,6 +318,8 @@ def test_tool_calls(spark):
     calls = [(1, "x", "f", '{"b": "t", "a": 1}', None), (1, "y", "f", '{"a":"1","c":2}', "x"), (1, "z", "g", "{}", "y"), (1, "p", "f", "[1]", "q"), (1, "q", "f", "nope", "p"), (2, "x", "f", '{"a":2}', "gone"), (None, "n", "f", '{"a":2}', None), (2, "x", "f", '{"a":3}', "gone")]
     results = [(1, "x", 'say "hi"'), (1, "x", "zz"), (1, "lost", "r"), (None, "n", "r")]
     got = {(r["group_id"], r["call_id"], r["status"]): r for r in tool_calls.link(spark.createDataFrame(calls, "group_id long, call_id string, name string, arguments string, after string"), spark.createDataFrame(results, "group_id long, call_id string, content string"), schema).collect()}
+    spare = {k: (json.loads(got.pop(k)["json"])) for k in [(1, "x", "duplicate"), (2, "x", "duplicate")]}
+    assert spare[1, "x", "duplicate"]["result"] == "zz" and spare[2, "x", "duplicate"]["arguments"] == {"a": 3}
     assert {k: v["level"] for k, v in got.items()} == {(1, "x", "linked"): 0, (1, "y", "unanswered"): 1, (1, "z", "unanswered"): 2, (1, "p", "cycle"): None, (1, "q", "cycle"): None, (2, "x", "unanswered"): 0, (None, "n", "unanswered"): 0, (1, "lost", "orphan"): None, (None, "n", "orphan"): None}
     assert got[1, "x", "linked"]["json"] == '{"arguments":{"a":1,"b":"t"},"id":"x","name":"f","result":"say \\"hi\\""}' and got[1, "x", "linked"]["errors"] == []
     assert got[1, "y", "unanswered"]["errors"] == ["a: not integer", "c: unknown"] and got[1, "z", "unanswered"]["errors"] == ["unknown tool"]
@@ -285,8 +330,9 @@ def test_conversations(spark):
     turns = common.table(spark, SF, "conversations").collect()
     users = {(r["conv_id"], r["turn"]): r["text"] for r in turns if r["role"] == "user"}
     answers = {(r["conv_id"], r["turn"] - 1): r["text"] for r in turns if r["role"] == "assistant"}
-    rows = queries.op10_tool_calls(spark, SF).collect()
-    assert len(rows) == len(users.keys() | answers.keys())
+    whole = queries.op10_tool_calls(spark, SF).collect()
+    rows = [r for r in whole if r["status"] != "message"]
+    assert len(rows) == len(users.keys() | answers.keys()) and sum(r["copies"] for r in whole if r["status"] == "message") == sum(r["role"] not in ("user", "assistant") for r in turns)
     for r in rows:
         at = tuple(map(int, r["call_id"][1:].split("-", 1)))
         level, back = 0, at
@@ -354,3 +400,28 @@ def test_run_against_plain_python(spark, tmp_path):
         ids = OWN.encode_ordinary(x)
         rows.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(x.encode()).hexdigest()))
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == sorted(rows)
+
+
+def test_odd_turns_and_repeats(spark, no_docs):
+    long = "w " * 200_000
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 0, "user", "b"), (1, 1, "assistant", long), (1, None, "user", "x"), (None, 2, "user", "y"), (1, 3, None, "z"), (1, 4, "tool", None), (1, 4, "tool", None), (2, 0, None, None)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "0 as group_id", "1 as copies", "'q' as status", "2 as level")
+    got = sorted(((r["conv_id"], r["call_id"], r["status"], r["copies"]) for r in tool_calls.link_conversations(turns).collect()), key=str)
+    assert got == sorted([(1, "c1-0", "linked", 1), (1, "c1-0", "duplicate", 1), (1, "c1-0", "duplicate", 1), (1, None, "unanswered", 1), (None, None, "unanswered", 1), (1, "c1-3", "message", 1), (1, "c1-4", "message", 2), (2, "c2-0", "message", 1)], key=str)
+    assert tool_calls.link_conversations(turns.limit(0)).count() == 0
+
+
+def test_numbers_have_one_form(spark):
+    rows = [('{"b": 1e2, "a": 100}', '{"a":100,"b":100}'), ('{"x": 1.50, "y": -0, "s": "1e2 \\" 1.0"}', '{"s":"1e2 \\" 1.0","x":1.5,"y":0}'), ("[1.0, 2, 3.25e1]", "[1,2,32.5]"), ("{", None), ('{"a":1,"a":2}', None), ("1E400", None)]
+    found = spark.createDataFrame([(a,) for a, _ in rows[:5]], "j string").select("j", tool_calls.canonical(F.col("j")).alias("c"))
+    got = {r["j"]: r["c"] for r in found.collect()}
+    assert got == dict(rows[:5])
+
+
+def test_calls_that_need_several(spark):
+    rows = [(1, "a", None), (1, "b", ["a"]), (1, "c", ["a", "b"]), (1, "d", ["c", "gone"]), (1, "e", ["f"]), (1, "f", ["e"]), (1, "g", ["e", "a"])]
+    calls = spark.createDataFrame(rows, "group_id long, call_id string, after array<string>")
+    got = {r["call_id"]: r["level"] for r in tool_calls.order_calls(calls).collect()}
+    assert got == {"a": 0, "b": 1, "c": 2, "d": 3, "e": None, "f": None, "g": None}
+    linked = tool_calls.link(calls.selectExpr("*", "'f' as name", "'{}' as arguments"), spark.createDataFrame([(1, "a", "r")], "group_id long, call_id string, content string"), {"f": {}})
+    assert {r["call_id"]: r["status"] for r in linked.collect()} == {"a": "linked", "b": "unanswered", "c": "unanswered", "d": "unanswered", "e": "cycle", "f": "cycle", "g": "cycle"}
