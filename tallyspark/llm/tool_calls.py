@@ -96,6 +96,22 @@ def canonical(json: Column) -> Column:
     return F.when(valid.isNotNull(), F.to_json(F.try_parse_json(F.array_join(F.transform(tokens, plain), ""))))
 
 
+def _first(rows: DataFrame, fields: tuple[str, ...]) -> tuple[DataFrame, DataFrame | None]:
+    """Of distinct rows (group_id, call_id, fields, copies) the least of each identifier, and the others with their copies;
+    None where no identifier repeats. Contents are compared for repeated identifiers alone."""
+    key = ["group_id", "call_id"]
+    repeated = common.cut(rows.groupBy(*key).agg(F.sum("copies").alias("n")).where("n > 1").select(*key), "repeated")
+    n = repeated.count()
+    if not n:
+        return rows.drop("copies"), None
+    few = common.maybe_broadcast(repeated, n)
+    own, single = rows.join(few, key), rows.join(few, key, "left_anti")
+    first = own.groupBy(*key).agg(F.min(F.struct(*fields)).alias("first__"))
+    same = F.struct(*fields).eqNullSafe(F.col("first__"))
+    more = own.join(first, key).withColumn("copies", F.when(same, F.col("copies") - 1).otherwise(F.col("copies"))).where("copies > 0").drop("first__")
+    return single.drop("copies").unionByName(first.select(*key, "first__.*")), more
+
+
 def link(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:
     """(group_id, call_id, name, after, level, status, errors, json, copies) of each call, and of each result without one.
 
@@ -110,20 +126,19 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:
     own = calls.select(*key, "name", "arguments", F.to_json("after").alias("after") if listed else F.col("after"))
     keyed = common.cut(own.where("group_id is not null and call_id is not null").groupBy(*own.columns).agg(F.count(F.lit(1)).alias("copies")), "keyed")
     told = common.cut(results.select(*key, "content").where("group_id is not null and call_id is not null").groupBy(*key, "content").agg(F.count(F.lit(1)).alias("copies")), "told")
-    c, r = F.struct("name", "arguments", "after"), F.struct("content")
-    first = keyed.groupBy(*key).agg(F.min(c).alias("c"))
-    answers = told.groupBy(*key).agg(F.min(r).alias("r"))
-    one = common.cut(first.select(*key, "c.*"), "calls")
+    one, more = _first(keyed, ("name", "arguments", "after"))
+    answer, again = _first(told, ("content",))
     levels = order_calls(one.withColumn("after", F.from_json("after", "array<string>")) if listed else one)
-    both = one.withColumn("called", F.lit(True)).join(levels.hint("shuffle_hash"), key, "left").join(answers.select(*key, "r.content", F.lit(True).alias("answered")).hint("shuffle_hash"), key, "full_outer").withColumn("copies", F.lit(1).cast("long"))
-    less = lambda same: F.when(same, F.col("copies") - 1).otherwise(F.col("copies"))
-    more = keyed.join(first.hint("shuffle_hash"), key).withColumn("copies", less(c.eqNullSafe(F.col("c")))).where("copies > 0").select(*own.columns, F.lit(True).alias("called"), "copies", F.lit("duplicate").alias("status"))
-    again = told.join(answers.hint("shuffle_hash"), key).withColumn("copies", less(r.eqNullSafe(F.col("r")))).where("copies > 0").select(*key, "content", "copies", F.lit("duplicate").alias("status"))
+    both = one.withColumn("called", F.lit(True)).join(levels.hint("shuffle_hash"), key, "left").join(answer.withColumn("answered", F.lit(True)).hint("shuffle_hash"), key, "full_outer").withColumn("copies", F.lit(1).cast("long"))
     rest = own.where("group_id is null or call_id is null").withColumns({"called": F.lit(True), "level": F.lit(0).cast("long"), "copies": F.lit(1).cast("long")})
     lost = results.select(*key, "content").where("group_id is null or call_id is null").withColumns({"answered": F.lit(True), "copies": F.lit(1).cast("long")})
     both = both.unionByName(rest, allowMissingColumns=True).unionByName(lost, allowMissingColumns=True)
     status = F.when(F.col("called").isNull(), "orphan").when(F.col("level").isNull(), "cycle").when(F.col("answered").isNull(), "unanswered").otherwise("linked")
-    whole = both.withColumn("status", status).unionByName(more, allowMissingColumns=True).unionByName(again, allowMissingColumns=True)
+    whole = both.withColumn("status", status)
+    if more is not None:
+        whole = whole.unionByName(more.withColumns({"called": F.lit(True), "status": F.lit("duplicate")}), allowMissingColumns=True)
+    if again is not None:
+        whole = whole.unionByName(again.withColumn("status", F.lit("duplicate")), allowMissingColumns=True)
     checked = whole.withColumn("errors", F.when(F.col("called"), errors_of(F.col("arguments"), F.col("name"), schemas)).otherwise(F.array().cast("array<string>")))
     return checked.select(*key, "name", "after", "level", "status", "errors", serialised().alias("json"), "copies")
 
