@@ -208,32 +208,24 @@ class PieceCache(dict):
                 self.clear()
             self[part] = value
 
-    def _values(self, known: list[str]) -> list[bytes]:
-        """The values of distinct words, those of letters (and a mark) that aren't kept computed together."""
-        values = list(map(self.get, known))
-        missing = [k for k, v in enumerate(values) if v is None]
-        marks = {x: self.whole(x) for x in ",."}
-        todo: dict[str, bytes | None] = {}
-        for k in missing:
-            stem = known[k]
-            if not stem.isalpha():
-                if stem[-1:] not in marks or not (stem := stem[:-1]).isalpha():
-                    continue
-            found = self.get(stem)
-            todo[stem] = self.older.get(stem) if found is None else found
-        words = [w for w, v in todo.items() if v is None]
-        for at in range(0, len(words), 512):
-            part = words[at : at + 512]
-            todo.update(zip(part, self.compute_words(part), strict=True))
-        for k in missing:
-            word = known[k]
-            value = todo.get(word)
-            if value is None:
-                stem = todo.get(word[:-1]) if word[-1:] in marks else None
-                value = self[word] if stem is None else stem + marks[word[-1]]
-            values[k] = value
-        for word in words:
-            self._keep(word, todo[word])
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """The values of distinct words of letters; those that aren't kept are computed together."""
+        values = list(map(self.get, words))
+        older, todo = self.older, []
+        for k in [k for k, v in enumerate(values) if v is None]:
+            word = words[k]
+            found = older.get(word)
+            if found is None:
+                todo.append(k)
+            else:
+                values[k] = found
+                self._keep(word, found)
+        for at in range(0, len(todo), 512):
+            part = todo[at : at + 512]
+            names = [words[k] for k in part]
+            for k, word, value in zip(part, names, self.compute_words(names), strict=True):
+                values[k] = value
+                self._keep(word, value)
         return values
 
     def of(self, text: str) -> bytes:
@@ -262,15 +254,26 @@ class PieceCache(dict):
         split = pc.split_pattern(pc.replace_substring(pc.if_else(odd, "", texts), "\n", " \n"), " ")
         ends = split.offsets.to_numpy()
         words = split.flatten().dictionary_encode()
-        place, known = words.indices.to_numpy().copy(), words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        place, known = words.indices.to_numpy(), words.dictionary
+        # words of letters, words of letters and a mark, and others; the first two share their letters' values
+        stem, mark = pc.utf8_slice_codeunits(known, 0, stop=-1), pc.utf8_slice_codeunits(known, -1)
+        letters = pc.utf8_is_alpha(known).to_numpy(zero_copy_only=False)
+        marked = pc.and_(pc.is_in(mark, value_set=pa.array([",", "."])), pc.utf8_is_alpha(stem)).to_numpy(zero_copy_only=False)
+        a, b, c = np.flatnonzero(letters), np.flatnonzero(marked), np.flatnonzero(~letters & ~marked)
+        stems = pa.concat_arrays([known.take(pa.array(a)), stem.take(pa.array(b))]).dictionary_encode()
+        values = pa.array(self._letters(stems.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(stems.indices)
+        marks = pa.array([self.whole(","), self.whole(".")], pa.large_binary()).take(pc.index_in(mark.take(pa.array(b)), value_set=pa.array([",", "."])))
+        both = pc.binary_join_element_wise(values.slice(len(a)), marks, pa.scalar(b"", pa.large_binary()))
+        rest = pa.array([self[w] for w in known.take(pa.array(c)).to_pylist()], pa.large_binary())
         # a text's first word has no blank before it: its value is the text's own
-        first = place[ends[:-1]].tolist()
-        place[ends[:-1]] = np.arange(len(known), len(known) + len(texts))
-        values = self._values(known)
-        values += [b"".join(map(self.whole, _PIECES.findall(known[f]))) for f in first]
+        starts = [b"".join(map(self.whole, _PIECES.findall(x))) for x in known.take(pa.array(place[ends[:-1]])).to_pylist()]
         for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
-            values[len(values) - len(texts) + k] = self.of(texts[k].as_py())
-        found = pa.array(values, pa.large_binary()).take(pa.array(place))
+            starts[k] = self.of(texts[k].as_py())
+        to = np.empty(len(known), np.int64)
+        to[np.concatenate([a, b, c])] = np.arange(len(known))
+        at = to[place]
+        at[ends[:-1]] = np.arange(len(known), len(known) + len(texts))
+        found = pa.concat_arrays([values.slice(0, len(a)), both, rest, pa.array(starts, pa.large_binary())]).take(pa.array(at))
         offsets = np.frombuffer(found.buffers()[1], np.int64)[found.offset : found.offset + len(found) + 1]
         raw = memoryview(found.buffers()[2] or b"")
         cuts = offsets[ends].tolist()
