@@ -215,7 +215,7 @@ def score_patterns(seen: DataFrame, texts: DataFrame, rounds: int = ROUNDS) -> D
     if not n:
         return nothing
     used = edges.where("shape = '*'").join(common.maybe_broadcast(contexts, n), "context").groupBy("context").agg(F.sum("uses").alias("uses"))
-    ordinary = used.join(slots(texts, contexts, n), "context", "left").select("context", F.greatest(F.coalesce("fillings", "uses") - F.col("uses"), F.lit(0)).alias("ordinary"))
+    ordinary = used.join(common.cut(slots(texts, contexts, n), "slots"), "context", "left").select("context", F.greatest(F.coalesce("fillings", "uses") - F.col("uses"), F.lit(0)).alias("ordinary"))
     pairs = common.cut(pairs.join(ordinary, "context"), "pairs")
     live = common.cut(edges.join(pairs.select("context", "shape").distinct(), ["context", "shape"]).select("context", "shape", "instance"), "live")
     seeds = common.cut(edges.where("kind is not null").select("instance", "kind").distinct(), "seeds")
