@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
+from ..operators import hierarchy, precedence
 from .logs import USAGE, get, number, parsed, time_ms
 
 def record() -> Column:
@@ -218,6 +219,65 @@ def kimchi(records: DataFrame) -> DataFrame:
     return pi_family(records, "kimchi")
 
 
+def openclaw(records: DataFrame) -> DataFrame:
+    """Messages with the model and provider that were named last, by a change, a snapshot or a message before."""
+    own = parsed(records).withColumn("kind", get(record(), "$.type", "string"))
+    snapshot = (F.col("kind") == "custom") & (get(record(), "$.customType", "string") == "model-snapshot")
+    reply = (F.col("kind") == "message") & (get(record(), "$.message.role", "string") == "assistant") & get(record(), "$.message.usage", "variant").isNotNull()
+    said = lambda k: F.when(F.col("kind") == "model_change", get(record(), f"$.{k}", "string")).when(snapshot, get(record(), f"$.data.{k}", "string"))
+    full = lambda p: F.nullif(get(record(), p, "string"), F.lit(""))
+    own = own.withColumn("model", known_before(F.nullif(F.coalesce(said("modelId"), F.when(reply, full("$.message.model"))), F.lit("")))).withColumn("provider", known_before(F.nullif(F.coalesce(said("provider"), F.when(reply, full("$.message.provider"))), F.lit(""))))
+    u = "$.message.usage."
+    return rows(
+        own.where(reply & F.col("model").isNotNull()), "openclaw", False, model=F.col("model"), provider=F.coalesce("provider", F.lit("unknown")), session_id=F.substring_index(segment(0), ".jsonl", 1), ts_ms=F.coalesce(get(record(), "$.message.timestamp", "long"), F.col("modified")),
+        input=number(record(), u + "input"), output=number(record(), u + "output"), cache_read=number(record(), u + "cacheRead"), cache_write=number(record(), u + "cacheWrite"), cost=F.coalesce(dollars(u + "cost.total"), F.lit(0.0)),
+    )
+
+
+def commandcode(records: DataFrame) -> DataFrame:
+    """Tokens guessed at four characters each: what came since the last answer is input, the answer is output.
+
+    The model stands in config.json two folders above; the first answer after a user's words starts a turn.
+    """
+    root = F.regexp_replace("path", r"/[^/]*/[^/]*/[^/]*$", "")
+    config = parsed(records.where(segment(0) == "config.json")).select(F.regexp_replace("path", "/[^/]*$", "").alias("root"), text("$.model").alias("raw"))
+    own = parsed(records.where(F.col("path").endswith(".jsonl") & ~F.col("path").endswith(".checkpoints.jsonl"))).withColumn("role", get(record(), "$.role", "string"))
+    body = F.to_json(get(record(), "$.content", "variant"))
+    chars = F.when(body.isNull() | body.isin('""', "[]", "{}", "null"), 0).otherwise(F.length(body))
+    own = own.withColumn("chars", chars).withColumn("answer", F.coalesce(F.col("role") == "assistant", F.lit(False))).withColumn("session", known_first(F.nullif(get(record(), "$.sessionId", "string"), F.lit(""))))
+    own = own.withColumn("part", F.coalesce(F.sum(F.col("answer").cast("int")).over(in_file().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    part = Window.partitionBy("path", "part")
+    own = own.withColumn("heard", F.sum(F.when(~F.col("answer"), F.col("chars")).otherwise(0)).over(part)).withColumn("asked", F.max((F.col("role") == "user").cast("int")).over(part) == 1)
+    own = own.where("answer").withColumn("root", root).join(config, "root", "left")
+    guess = lambda n: F.ceil(F.col(n) / F.lit(4)).cast("long")
+    model = F.regexp_replace(F.element_at(F.split("raw", "/"), -1), "(?i)(?<=.)-free$", "")
+    found = rows(
+        own, "commandcode", model=F.coalesce(model, F.lit("unknown")), provider=F.coalesce(names.provider_infer(F.col("raw")), F.lit("command-code")), session_id=F.coalesce("session", file_stem()), ts_ms=or_file_time(time_ms(record(), "$.timestamp")),
+        input=guess("heard"), output=guess("chars"), is_turn_start=F.coalesce("asked", F.lit(False)), workspace=F.nullif(F.regexp_extract("path", r"projects/([^/]+)/[^/]*$", 1), F.lit("")),
+    )
+    return found.withColumn("dedup_key", F.concat_ws(":", "session_id", (F.row_number().over(in_file()) - 1).cast("string")))
+
+
+def tiered_spans(records: DataFrame) -> DataFrame:
+    """Telemetry spans and logs of one client: chat spans, inference logs, agents' turns and summaries, each (tier, trace,
+    response); precedence.tiered keeps the best tier that tells of a request."""
+    own = parsed(records).withColumn("attributes", F.coalesce(F.try_variant_get(record(), "$.attributes", "variant"), F.try_variant_get(record(), "$.body.attributes", "variant")))
+    a = F.col("attributes")
+    field = lambda k: f"$['{k}']"
+    operation, event = get(a, field("gen_ai.operation.name"), "string"), F.coalesce(get(a, field("event.name"), "string"), get(record(), "$.name", "string"))
+    tier = F.when(operation == "chat", "chat").when(event.rlike("inference"), "inference").when(event.rlike("agent.*turn"), "agent_turn").when(operation == "invoke_agent", "agent_summary")
+    own = own.withColumn("tier", tier).withColumn("trace", get(record(), "$.traceId", "string")).withColumn("response", get(a, field("gen_ai.response.id"), "string")).where("tier is not null")
+    own = precedence.tiered(own.select("path", "line", "modified", "doc", "attributes", "tier", "trace", "response"))
+    n = lambda *ks: number(a, *(field(f"gen_ai.usage.{k}") for k in ks))
+    read = n("cache_read.input_tokens", "cache_read_input_tokens")
+    whole, thought = n("input_tokens"), n("reasoning.output_tokens", "reasoning_tokens")
+    model = F.coalesce(get(a, field("gen_ai.response.model"), "string"), get(a, field("gen_ai.request.model"), "string"), F.lit("unknown"))
+    return rows(
+        own, "copilot", model=model, provider=provider_of(model, "github-copilot"), session_id=F.coalesce(get(a, field("gen_ai.conversation.id"), "string"), F.col("trace"), file_stem()), ts_ms=or_file_time(time_ms(record(), "$.timestamp")),
+        input=whole - F.least(read, whole), output=n("output_tokens"), cache_read=read, cache_write=n("cache_creation.input_tokens", "cache_creation_input_tokens"), reasoning=thought, dedup_key=F.coalesce(F.concat(F.lit("response:"), F.col("response")), F.concat_ws(":", "trace", get(record(), "$.spanId", "string"))),
+    )
+
+
 # Whole documents -----------------------------------------------------------------------------------------------------
 
 
@@ -292,6 +352,23 @@ def augment(records: DataFrame) -> DataFrame:
     )
 
 
+def gemini(records: DataFrame) -> DataFrame:
+    """Messages of a session with tokens, a tool's being input. Cached tokens are taken out of the input only where the
+    total shows that they are in it."""
+    own = items(parsed(records), "$.messages").withColumn("t", get(record(), "$.tokens", "variant")).where("t is not null").where(get(record(), "$.model", "string").isNotNull())
+    t = F.col("t")
+    first = lambda *ks: F.greatest(F.coalesce(*(get(t, f"$.{k}", "long") for k in ks), F.lit(0)), F.lit(0).cast("long"))
+    raw, out = first("input", "prompt", "input_tokens", "prompt_tokens", "promptTokenCount"), first("output", "candidates", "output_tokens", "completion_tokens", "candidatesTokenCount")
+    cached, thought, tool = first("cached", "cached_tokens", "cachedContentTokenCount"), first("thoughts", "reasoning", "thoughts_tokens"), first("tool", "tool_tokens")
+    total = F.coalesce(*(get(t, f"$.{k}", "long") for k in ("total", "totalTokenCount", "total_tokens")))
+    within = (cached > 0) & (total == raw + out + thought + tool)
+    session = F.coalesce(get(F.col("whole"), "$.sessionId", "string"), get(F.col("whole"), "$.session_id", "string"), file_stem())
+    return rows(
+        own, "gemini", False, model=get(record(), "$.model", "string"), provider=F.lit("google"), session_id=session, ts_ms=or_file_time(time_ms(record(), "$.timestamp")),
+        input=F.when(F.coalesce(within, F.lit(False)), raw - F.least(cached, raw)).otherwise(raw) + tool, output=out, cache_read=cached, reasoning=thought,
+    )
+
+
 def task_log(records: DataFrame, client: str) -> DataFrame:
     """Requests of a task's message file; model and agent are the last named in its history file, in the same folder."""
     folder = F.regexp_replace("path", "/[^/]*$", "")
@@ -390,19 +467,78 @@ def codebuff(records: DataFrame, client: str = "codebuff") -> DataFrame:
 # Rows of SQLite tables, each a JSON object (see sqlite.py) ------------------------------------------------------------
 
 
-def kilo(records: DataFrame) -> DataFrame:
-    """Assistants' messages with tokens, from (id, session_id, data)."""
+def messages_table(records: DataFrame, client: str) -> DataFrame:
+    """Assistants' messages with tokens, from (id, session_id, data). Times are milliseconds, or seconds where small."""
     own = parsed(records).withColumn("whole", record()).withColumn("doc", F.try_parse_json(get(record(), "$.data", "string")))
     own = own.where((get(record(), "$.role", "string") == "assistant") & get(record(), "$.tokens", "variant").isNotNull() & get(record(), "$.modelID", "string").isNotNull())
     model, stated, row = get(record(), "$.modelID", "string"), get(record(), "$.providerID", "string"), F.col("whole")
-    raw = F.coalesce(stated, provider_of(model, "kilo"))
+    raw = F.coalesce(stated, provider_of(model, client))
+    made = get(record(), "$.time.created", "double")
+    ended = get(record(), "$.time.completed", "double")
+    ms = lambda x: F.when(x > 1e12, x).otherwise(x * 1000).cast("long")
+    took = ms(ended) - ms(made)
     return rows(
-        own, "kilo", False, model=model, provider=F.coalesce(names.provider_canonical(raw), raw), session_id=F.coalesce(get(record(), "$.session_id", "string"), get(row, "$.session_id", "string")), ts_ms=F.coalesce(get(record(), "$.time.created", "double").cast("long"), F.col("modified")),
+        own, client, False, model=model, provider=F.coalesce(names.provider_canonical(raw), raw), session_id=F.coalesce(get(record(), "$.session_id", "string"), get(row, "$.session_id", "string")), ts_ms=F.coalesce(ms(made), F.col("modified")), workspace=workspace_key(get(record(), "$.path.root", "string")), duration_ms=F.when(took > 0, took),
         input=number(record(), "$.tokens.input"), output=number(record(), "$.tokens.output"), reasoning=number(record(), "$.tokens.reasoning"), cache_read=number(record(), "$.tokens.cache.read"), cache_write=number(record(), "$.tokens.cache.write"),
         cost=F.coalesce(dollars("$.cost"), F.lit(0.0)), agent=F.coalesce(get(record(), "$.agent", "string"), get(record(), "$.mode", "string")), dedup_key=F.coalesce(get(record(), "$.id", "string"), get(row, "$.id", "string")),
     )
 
 
+def kilo(records: DataFrame) -> DataFrame:
+    return messages_table(records, "kilo")
+
+
+def opencode(records: DataFrame) -> DataFrame:
+    """Rows of the database and files of single messages (the file is the message); the database's come first where both
+    tell of one, see precedence.lane_order."""
+    own = parsed(records)
+    files = own.where(get(record(), "$.data", "string").isNull())
+    wrapped = files.withColumn("value", F.to_json(F.struct(F.coalesce(get(record(), "$.id", "string"), file_stem()).alias("id"), get(record(), "$.sessionID", "string").alias("session_id"), F.col("value").alias("data"))))
+    return messages_table(own.where(get(record(), "$.data", "string").isNotNull()).drop("doc").unionByName(wrapped.drop("doc")), "opencode")
+
+
+def micode(records: DataFrame) -> DataFrame:
+    """Message tables whose costs are the provider's own; of several rows with one fingerprint the first counts."""
+    found = messages_table(records, "micode").withColumn("cost_source", F.when(F.col("cost") > 0, "reported").otherwise("unknown"))
+    alike = Window.partitionBy("path", "session_id", "ts_ms", "model", "provider", *BUCKETS, "cost", "agent").orderBy("line")
+    return found.withColumn("n__", F.row_number().over(alike)).where("n__ = 1").drop("n__")
+
+
+def octofriend(records: DataFrame) -> DataFrame:
+    """Messages with counts in columns, of a gateway's client; the client is its own whatever the model."""
+    own, n = parsed(records), lambda k: number(record(), f"$.{k}")
+    seconds, model = get(record(), "$.timestamp", "double"), F.coalesce(get(record(), "$.model", "string"), F.lit(""))
+    return rows(
+        own, "synthetic", model=model, provider=F.coalesce(text("$.provider"), F.lit("synthetic")), session_id=F.coalesce(get(record(), "$.session_id", "string"), F.lit("unknown")), ts_ms=F.when(seconds > 1e12, seconds).otherwise(seconds * 1000).cast("long"),
+        input=n("input_tokens"), output=n("output_tokens"), cache_read=n("cache_read_tokens"), cache_write=n("cache_write_tokens"), reasoning=n("reasoning_tokens"), cost=F.coalesce(dollars("$.cost"), F.lit(0.0)), dedup_key=get(record(), "$.id", "string"),
+    )
+
+
+def crush(records: DataFrame, zone: str = "UTC") -> DataFrame:
+    """A row per root session and day, its cost dealt by the days' assistant messages in the whole tree below it.
+
+    Records are rows of both tables, told apart by a field "table". The last day takes what is left; a session with a
+    cost and no such message is one row of no messages. Times of 11 digits or fewer are seconds.
+    """
+    own = parsed(records).withColumn("table", get(record(), "$.table", "string"))
+    ms = lambda x: F.when(x >= 100_000_000_000, x).when(x > 0, x * 1000)
+    when = lambda k: ms(get(record(), f"$.{k}", "long"))
+    name = F.concat_ws("\0", "path", get(record(), "$.id", "string"))
+    sessions = own.where("table = 'sessions'").select("path", "line", "modified", name.alias("node"), F.when(get(record(), "$.parent_session_id", "string").isNotNull(), F.concat_ws("\0", "path", get(record(), "$.parent_session_id", "string"))).alias("parent"), F.coalesce(get(record(), "$.cost", "double"), F.lit(0.0)).alias("cost"), F.coalesce(get(record(), "$.message_count", "long"), F.lit(0)).alias("n"), F.coalesce(when("updated_at"), when("created_at")).alias("last"), get(record(), "$.id", "string").alias("id"))
+    roots = sessions.where("parent is null and (n > 0 or cost > 0)")
+    tree = hierarchy.descendants(records.sparkSession, sessions.select("node", "parent"))
+    said = own.where((F.col("table") == "messages") & (get(record(), "$.role", "string") == "assistant")).select(F.concat_ws("\0", "path", get(record(), "$.session_id", "string")).alias("node"), when("created_at").alias("at")).where("at is not null")
+    days = said.join(tree, "node").groupBy("root", F.to_date(F.from_utc_timestamp(F.timestamp_millis("at"), zone)).alias("day")).agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("messages"))
+    both = roots.join(days.withColumnRenamed("root", "node"), "node", "left")
+    order, whole = Window.partitionBy("node").orderBy("day"), Window.partitionBy("node")
+    spent = F.greatest("cost", F.lit(0.0))
+    share = spent * F.col("messages") / F.sum("messages").over(whole)
+    before = F.coalesce(F.sum(spent * F.col("messages")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) / F.sum("messages").over(whole)
+    last = F.row_number().over(order) == F.count(F.lit(1)).over(whole)
+    both = both.withColumn("own", F.when(F.col("day").isNull(), spent).when(last, F.greatest(spent - before, F.lit(0.0))).otherwise(share)).where("day is not null or (cost > 0 and last is not null)")
+    return rows(both, "crush", False, model=F.lit("session-total"), provider=F.lit("crush"), session_id=F.concat_ws(":", "path", "id"), ts_ms=F.coalesce("at", "last"), cost=F.col("own"), message_count=F.coalesce("messages", F.lit(0)))
+
+
 def goose(records: DataFrame) -> DataFrame:
     """A row per session, accumulated counts first; what the total has beyond input and output is reasoning."""
     own = parsed(records).withColumn("model", text("$.model_name", F.try_parse_json(get(record(), "$.model_config_json", "string")))).where("model is not null")
@@ -449,5 +585,5 @@ def hermes(records: DataFrame) -> DataFrame:
 
 
 #: How each client's logs are found: the reader of its files, a glob, and the dialect.
-LINES = {"qwen": ("*.jsonl", qwen), "reasonix": ("*.jsonl", reasonix), "junie": ("events.jsonl", junie), "gjc": ("*.jsonl", gjc), "opencodereview": ("*.jsonl", opencodereview), "antigravity": ("*.jsonl", antigravity), "senpi": ("*.jsonl", senpi), "kimchi": ("*.jsonl", kimchi)}
-DOCUMENTS = {"mux": ("session-usage.json", mux), "trae": ("*.json", trae), "warp": ("usage*.json", warp), "augment": ("*.json", augment), "roocode": ("*.json", roocode), "kilocode": ("*.json", kilocode), "cline": ("*.json", cline), "codebuff": ("chat-messages.json", codebuff)}
+LINES = {"qwen": ("*.jsonl", qwen), "reasonix": ("*.jsonl", reasonix), "junie": ("events.jsonl", junie), "gjc": ("*.jsonl", gjc), "opencodereview": ("*.jsonl", opencodereview), "antigravity": ("*.jsonl", antigravity), "senpi": ("*.jsonl", senpi), "kimchi": ("*.jsonl", kimchi), "openclaw": ("*.jsonl*", openclaw), "copilot": ("*.jsonl", tiered_spans)}
+DOCUMENTS = {"gemini": ("*.json", gemini), "mux": ("session-usage.json", mux), "trae": ("*.json", trae), "warp": ("usage*.json", warp), "augment": ("*.json", augment), "roocode": ("*.json", roocode), "kilocode": ("*.json", kilocode), "cline": ("*.json", cline), "codebuff": ("chat-messages.json", codebuff)}

@@ -141,6 +141,8 @@ def read(spark: SparkSession, client: str, path: str) -> DataFrame:
         return dialect(documents(spark, path, glob))
     if client == "droid":  # a document of settings, and the lines of the log beside it
         return dialects.droid(documents(spark, path, "*.settings.json").unionByName(lines(spark, path)))
+    if client == "commandcode":  # lines, and the settings two folders above
+        return dialects.commandcode(lines(spark, path).unionByName(documents(spark, path, "config.json")))
     if client in sqlite.TABLES:
         glob, queries, dialect = sqlite.TABLES[client]
         return dialect(sqlite.records(spark, path, glob, queries))

@@ -67,6 +67,10 @@ def records(spark: SparkSession, path: str, glob: str, queries: list[tuple[str,
 #: Of each client: a glob, queries (each in forms, the first that the schema allows counts), and the dialect of the rows.
 TABLES = {
     "kilo": ("kilo.db", [("SELECT id, session_id, data FROM message ORDER BY rowid",)], dialects.kilo),
+    "opencode": ("opencode*.db", [("SELECT id, session_id, data FROM message ORDER BY rowid", "SELECT id, session_id, data FROM session_message ORDER BY rowid")], dialects.opencode),
+    "micode": ("*.db", [("SELECT id, session_id, data FROM message ORDER BY rowid",)], dialects.micode),
+    "octofriend": ("sqlite.db", [("SELECT * FROM messages ORDER BY rowid",)], dialects.octofriend),
+    "crush": ("crush.db", [("SELECT 'sessions' AS \"table\", * FROM sessions ORDER BY rowid",), ("SELECT 'messages' AS \"table\", id, session_id, role, created_at FROM messages ORDER BY rowid",)], dialects.crush),
     "goose": ("sessions.db", [("SELECT * FROM sessions ORDER BY rowid",)], dialects.goose),
     "hermes": ("state.db", [("SELECT 'sessions' AS \"table\", * FROM sessions ORDER BY rowid",), ("SELECT 'session_model_usage' AS \"table\", * FROM session_model_usage ORDER BY rowid",)], dialects.hermes),
 }

@@ -217,3 +217,50 @@ def test_claude_turns_and_tools(spark):
     ]
     got = sorted(tuple(r) for r in logs.claude_rows(records(spark, *((p, r) for r in rows))).select("dedup_key", "input", "is_turn_start", "agent").collect())
     assert got == [("a:r", 1, True, None), ("b:r", 1, False, None), ("claude:tool_result:s:t1", 9, False, "x"), ("message:c", 1, False, "side")]
+
+
+def test_gemini(spark):
+    row = lambda **t: {"type": "gemini", "model": "gemini-3", "timestamp": "2024-01-01T00:00:00Z", "tokens": t}
+    doc = {"sessionId": "S", "messages": [row(input=10, cached=4, output=2, total=12), row(input=10, cached=4, output=2, total=16), row(prompt=3, tool=2, thoughts=1), {"type": "user"}, {"tokens": {"input": 1}}]}
+    found = dialects.gemini(records(spark, ("/g/session-1.json", doc)))
+    assert facts(found) == sorted([("gemini-3", "google", "S", 1704067200000, 6, 2, 4, 0, 0), ("gemini-3", "google", "S", 1704067200000, 10, 2, 4, 0, 0), ("gemini-3", "google", "S", 1704067200000, 5, 0, 0, 0, 1)], key=str)
+
+
+def test_openclaw(spark):
+    p = "/o/s1.jsonl.reset.1"
+    msg = lambda **k: {"type": "message", "message": {"role": "assistant", "timestamp": 1704067200000, "usage": {"input": 1, "cost": {"total": 0.5}}} | k}
+    found = dialects.openclaw(records(spark, (p, msg()), (p, {"type": "model_change", "modelId": "a", "provider": "x"}), (p, msg()), (p, {"type": "custom", "customType": "model-snapshot", "data": {"modelId": "b"}}), (p, msg()), (p, msg(model="c", provider="z")), (p, msg(model=""))))
+    assert sorted((r["model"], r["provider"], r["session_id"], r["cost"]) for r in found.collect()) == [("a", "x", "s1", 0.5), ("b", "x", "s1", 0.5), ("c", "z", "s1", 0.5), ("c", "z", "s1", 0.5)]
+
+
+def test_commandcode(spark):
+    p = "/h/.commandcode/projects/web/s.jsonl"
+    said = lambda role, content: {"role": role, "content": content, "sessionId": "S", "timestamp": "2024-01-01T00:00:00Z"}
+    found = dialects.commandcode(records(spark, ("/h/.commandcode/config.json", {"model": "z/GLM-5-Free"}), (p, said("user", "123456")), (p, said("tool", [1, 2])), (p, said("assistant", "12")), (p, said("assistant", "")), (p, said("assistant", "abcdef"))))
+    assert facts(found, "is_turn_start", "dedup_key", "workspace") == [("GLM-5", "zai", "S", 1704067200000, 0, 2, 0, 0, 0, False, "S:1", "web"), ("GLM-5", "zai", "S", 1704067200000, 4, 1, 0, 0, 0, True, "S:0", "web")]
+
+
+def test_spans_of_several_tiers(spark):
+    span = lambda trace, operation, n, **more: {"traceId": trace, "timestamp": 1704067200000, "attributes": {"gen_ai.operation.name": operation, "gen_ai.response.model": "gpt-5", "gen_ai.usage.input_tokens": n, "gen_ai.usage.cache_read.input_tokens": 2} | more}
+    found = dialects.tiered_spans(records(spark, ("/c/a.jsonl", span("t1", "chat", 10)), ("/c/a.jsonl", span("t1", "invoke_agent", 99)), ("/c/a.jsonl", span("t2", "invoke_agent", 7)), ("/c/a.jsonl", span("t3", "other", 1))))
+    assert sorted((r["session_id"], r["input"], r["cache_read"]) for r in found.collect()) == [("t1", 8, 2), ("t2", 5, 2)]
+
+
+def test_crush(spark, tmp_path):
+    with sqlite3.connect(tmp_path / "crush.db") as db:
+        db.execute("CREATE TABLE sessions (id, parent_session_id, message_count, cost, created_at, updated_at)")
+        db.execute("CREATE TABLE messages (id, session_id, role, created_at)")
+        db.executemany("INSERT INTO sessions VALUES (?,?,?,?,?,?)", [("r", None, 2, 9.0, 1704067200, 1704067300), ("c", "r", 1, 5.0, 1, 1), ("g", "c", 1, None, 1, 1), ("lone", None, 0, 2.0, 1704067200, None), ("none", None, 0, 0, 1, 1)])
+        db.executemany("INSERT INTO messages VALUES (?,?,?,?)", [("1", "r", "assistant", 1704067200), ("2", "g", "assistant", 1704067260000), ("3", "c", "assistant", 1704153600), ("4", "r", "user", 1704067200), ("5", "r", "assistant", 0)])
+    db.close()
+    got = sorted((r["ts_ms"], round(r["cost"], 9), r["message_count"], r["session_id"].rpartition(":")[2]) for r in logs.read(spark, "crush", str(tmp_path)).collect())
+    assert got == [(1704067200000, 2.0, 0, "lone"), (1704067200000, 6.0, 2, "r"), (1704153600000, 3.0, 1, "r")]
+
+
+def test_message_tables(spark):
+    data = {"role": "assistant", "modelID": "claude-x", "tokens": {"input": 3, "output": 1, "cache": {"read": 4, "write": 5}}, "time": {"created": 1704067200, "completed": 1704067201.5}, "path": {"root": "/w/p"}, "cost": 0.5}
+    row = {"id": "m", "session_id": "s", "data": json.dumps(data)}
+    found = dialects.opencode(records(spark, ("/o/opencode.db", row), ("/o/storage/message/n.json", data | {"sessionID": "t"})))
+    assert facts(found, "workspace", "duration_ms", "dedup_key") == [("claude-x", "anthropic", "s", 1704067200000, 3, 1, 4, 5, 0, "/w/p", 1500, "m"), ("claude-x", "anthropic", "t", 1704067200000, 3, 1, 4, 5, 0, "/w/p", 1500, "n")]
+    found = dialects.micode(records(spark, ("/m/a.db", row), ("/m/a.db", row | {"id": "copy"})))
+    assert facts(found, "cost_source", "dedup_key") == [("claude-x", "anthropic", "s", 1704067200000, 3, 1, 4, 5, 0, "reported", "m")]
