@@ -11,16 +11,24 @@ from tallyspark.llm import bpe, common, mixing, pii, simhash, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows scored below the threshold. The classifier is fitted on labelled rows of docs that aren't held out."""
+    """Rows scored below the threshold. The classifier is fitted on labelled rows of docs that aren't held out.
+
+    Null texts are scored as empty ones. Rows with a null id, and repeated rows, are scored like any other. Without usable
+    labels nothing goes; an empty table gives none.
+    """
     model = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, out="score__").where(F.col("score__") < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies: that with the smallest (id, fingerprint). Null and empty texts are one group;
+    rows with a null id stay; rows that share an id count each in its own group; an empty table gives none."""
     return simhash.deduplicate(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with personal data and secrets in the text replaced by their kind, and n_chars as the text is then. Null
+    texts stay null; repeated rows and null ids keep a row each; an empty table gives none."""
     masked = pii.redacted(docs)
     if "n_chars" in docs.columns:
         masked = masked.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
@@ -28,10 +36,14 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the mix takes them. A null source is a source of its own; texts without words take nothing and
+    stay as often as their source is certain; repeated rows are told apart by their places; an empty table gives none."""
     return mixing.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per row: counts and digests of ids and decoded bytes. Null and empty texts have no tokens; repeated rows and
+    null ids keep a row each; an empty table gives none."""
     return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..operators import archive, filters, hierarchy, precedence, pricing, rotation, series
+from ..operators import archive, filters, hierarchy, precedence, price_lookup, pricing, rotation, series
 from ..sources import bridge
 
 usage = bridge.usage_from_events
@@ -160,6 +160,22 @@ def _borrowed(spark, sf):
     return pricing.borrowed(rows)
 
 
+CATALOGUE = [("litellm", "gpt-5.4"), ("litellm", "azure/gpt-5.4"), ("litellm", "claude-opus-4-6"), ("openrouter", "anthropic/claude-sonnet-4.5"), ("openrouter", "x-ai/grok-4"), ("models.dev", "google/gemini-3-pro-preview"), ("models.dev", "zai/glm-4.7"), ("litellm", "fireworks_ai/kimi-k2.5"), ("models.dev", "moonshotai/kimi-k2.5"), ("litellm", "auto-model")]
+#: A name, its provider, and what it means: (stage, key).
+MEANT = [
+    ("GPT-5.4", "openai", "exact", "gpt-5.4"), ("gpt-5-4", None, "exact", "gpt-5.4"), ("gpt-5.4", "azure", "exact", "gpt-5.4"), ("azure/gpt-5.4", None, "path", "azure/gpt-5.4"),
+    ("claude-opus-4.6-thinking", None, "exact", "claude-opus-4-6"), ("claude-sonnet-4-5", None, "prefix", "anthropic/claude-sonnet-4.5"), ("claude-sonnet-4-5-20250929", None, "suffix", "anthropic/claude-sonnet-4.5"),
+    ("grok-4", "xai", "prefix", "x-ai/grok-4"), ("gemini-3-pro", "google", "fuzzy", "google/gemini-3-pro-preview"), ("big-pickle", None, "under", "zai/glm-4.7"), ("kimi-k2.5", None, "under", "moonshotai/kimi-k2.5"),
+    ("kimi-k2.5", "fireworks_ai", "under", "fireworks_ai/kimi-k2.5"), ("auto", None, None, None), ("acme/agent_review", None, None, None), ("gpt-5.4-fast-beta", None, "fuzzy", "gpt-5.4"), ("mini", None, None, None), ("model", None, None, None), ("zzz-unknown", None, None, None), ("", None, None, None),
+]
+
+
+def _resolved_names(spark, sf):
+    u = usage(spark, sf)
+    own = pick([m for m, *_ in MEANT], u, "model").withColumn("provider", F.element_at(F.array(*(F.lit(x[1]) for x in MEANT)), (F.col("event_id") % len(MEANT) + 1).cast("int")))
+    return price_lookup.with_key(own, CATALOGUE).select("event_id", "price_key")
+
+
 def queries(u: str, p: str) -> dict:
     w = f"WITH {u}"
     zoned = f"strftime(timezone('{ZONE}', make_timestamptz(ts_ms // 60000 * 60000000)), '{{}}')"
@@ -212,6 +228,7 @@ def queries(u: str, p: str) -> dict:
         "borrowed_rates": (_borrowed, "SELECT * FROM (VALUES ('a', 'x', 10.0::DOUBLE, 20.0::DOUBLE, 1.0::DOUBLE), ('b', 'x', 10.0::DOUBLE, NULL, 1.0::DOUBLE), ('c', 'x', 5.0::DOUBLE, 6.0::DOUBLE, 2.0::DOUBLE)) t(model, hint, input, output, cache)"),
         "hosted_surcharge": (lambda s, sf: pricing.with_surcharge(priced(s, sf).withColumn("provider", F.expr("if(event_id % 2 = 0, 'hosted', provider)")), "hosted").select("event_id", "cost_nanos"), f"WITH {p} SELECT event_id, CAST(CASE WHEN event_id % 2 = 0 AND cost_source <> 'reported' THEN cost_nanos * 11 // 10 ELSE cost_nanos END AS BIGINT) AS cost_nanos FROM priced"),
         "custom_prices": (lambda s, sf: pricing.with_custom(usage(s, sf).select("event_id", "model", "input"), {"grok-4": 7, "gpt-5.4": 9}, 1).select("event_id", "nanos"), f"{w} SELECT event_id, input * CASE model WHEN 'grok-4' THEN 7 WHEN 'gpt-5.4' THEN 9 ELSE 1 END AS nanos FROM usage"),
+        "price_resolution": (_resolved_names, f"{w} SELECT event_id, {literal([k for *_, k in MEANT])} AS price_key FROM usage"),
         "cost_policies": (lambda s, sf: pricing.by_policy(with_columns(usage(s, sf), policy="element_at(array('reprice', 'fill_non_positive', 'fill_non_authoritative', 'preserve'), int(event_id % 4 + 1))", estimate="event_id"), "policy", "estimate").select("event_id", "nanos"), f"{w} SELECT event_id, CAST(CASE event_id % 4 WHEN 0 THEN event_id WHEN 1 THEN CASE WHEN reported_nanos > 0 THEN reported_nanos ELSE event_id END WHEN 2 THEN CASE WHEN cost_source = 'reported' THEN reported_nanos ELSE event_id END ELSE reported_nanos END AS BIGINT) AS nanos FROM usage"),
     }
     for step, form in (("hour", "%Y-%m-%d %H:00"), ("day", "%Y-%m-%d"), ("month", "%Y-%m")):

@@ -170,3 +170,14 @@ def test_sweeps_over_minutes(spark):
         top = max(top, b)
         best = max(best, top - head)
     assert sessions.longest_run(own).first()[0] == best
+
+
+def test_names_mean_rows_of_the_catalogue(spark):
+    from tallyspark.operators import price_lookup
+    from tallyspark.plans import more
+
+    known = price_lookup.Catalogue(tuple(more.CATALOGUE))
+    for model, provider, stage, key in more.MEANT:
+        got = known.resolve(model, provider)
+        assert (got and (got[0], got[2])) == (stage and (stage, key)), (model, provider, got)
+    assert price_lookup.usable([("a", "github_copilot/x", 1.0), ("a", "y", None), ("a", "z", 0.0)]) == [("a", "z")]
