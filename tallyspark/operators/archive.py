@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,32 +72,45 @@ def completed(revisions: DataFrame) -> DataFrame:
     """(event, revision_hash, conflict) of streamed records, whose counts only grow: generation by generation, the revision
     that extends all others of its generation and the one selected before; else it is a conflict and the one before stays.
 
-    revisions: (event, revision_hash, generation, cost_rank, reported_nanos, duration_ms, same, ...counts), where same
-    stands for all that mustn't change. An event has few revisions (see first_observation), which one task compares.
+    revisions: (event, revision_hash, generation, cost_rank, reported_nanos, duration_ms, same, is_turn_start, ...counts),
+    where same stands for all that mustn't change. Null counts are 0, a null turn start is none. A generation is reduced
+    to its least and greatest values and two of its revisions, so that only an event's generations, not its revisions,
+    meet in a task, and nothing is compared in pairs.
     """
-
-    def extends(later: dict, earlier: dict) -> bool:
-        rank = lambda r: (r["duration_ms"] is not None, r["duration_ms"] or 0)
-        cost = earlier["cost_rank"] == 0 or later["cost_rank"] == 2 and later["reported_nanos"] == earlier["reported_nanos"]
-        return later["same"] == earlier["same"] and all(later[c] >= earlier[c] for c in _COUNTS) and (later["is_turn_start"] or not earlier["is_turn_start"]) and rank(later) >= rank(earlier) and cost
-
-    def choose(rows):
-        found = rows.astype(object).where(rows.notna(), None).to_dict("records")
-        now, conflict = None, False
-        for generation in sorted({r["generation"] for r in found}):
-            group = [r for r in found if r["generation"] == generation]
-            if now is not None and not all(extends(r, now) for r in group):
-                conflict = True
-                continue
-            top = sorted((r for r in group if all(extends(r, x) for x in group)), key=lambda r: (-r["cost_rank"], r["revision_hash"]))
-            if top:
-                now = top[0]
-            else:
-                conflict = True
-                now = now or min(group, key=lambda r: r["revision_hash"])
-        return pd.DataFrame([(now["event"], now["revision_hash"], conflict)], columns=["event", "revision_hash", "conflict"])
-
-    return revisions.groupBy("event").applyInPandas(choose, "event string, revision_hash string, conflict boolean")
+    numbers = (*_COUNTS, "turn")
+    of = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    is_rank = lambda n: F.coalesce(F.col("cost_rank") == n, F.lit(False))
+    turn = F.coalesce(F.col("is_turn_start"), F.lit(False)).cast("long")
+    timed = F.struct(F.col("duration_ms").isNotNull().cast("long").alias("has"), of("duration_ms").alias("ms"))
+    row = F.struct(F.col("revision_hash").cast("string").alias("hash"), "same", *(of(c).alias(c) for c in _COUNTS), turn.alias("turn"), timed.alias("timed"), is_rank(0).alias("free"), is_rank(2).alias("told"), F.col("reported_nanos").alias("nanos"))
+    rows = revisions.select(F.col("event").cast("string").alias("event"), "generation", row.alias("r"))
+
+    # a revision that extends all others has the greatest of each value: it is the first in this order if there is one
+    down = [F.bitwise_not(F.col(f"r.{c}")) for c in (*numbers, "timed.has", "timed.ms")]
+    order = F.struct(*(c.alias(f"k{i}") for i, c in enumerate(down)), (~F.col("r.told")).alias("untold"), "r")
+    alike = lambda c, n: F.min(c).eqNullSafe(F.max(c)) & F.count(c).isin(F.lit(0).cast("long"), n)
+    nanos, ranked = F.when(~F.col("r.free"), F.col("r.nanos")), F.count_if(~F.col("r.free"))
+    bounds = [f(f"r.{c}").alias(f"{name}_{c}") for c in (*numbers, "timed") for f, name in ((F.min, "low"), (F.max, "high"))]
+    groups = rows.groupBy("event", "generation").agg(
+        F.min(order)["r"].alias("best"), F.min("r").alias("first"), *bounds, alike("r.same", F.count(F.lit(1))).alias("one"),
+        F.bool_and("r.free").alias("free"), F.bool_and("r.told").alias("told"), alike(nanos, ranked).alias("level"),
+    )
+    greatest = [F.col(f"best.{c}") == F.col(f"high_{c}") for c in (*numbers, "timed")]
+    extends_all = F.col("one") & reduce(and_, greatest) & (F.col("free") | (F.col("best.told") & F.col("level")))
+    groups = groups.select("event", F.struct("generation", "one", "told", "level", *(f"low_{c}" for c in (*numbers, "timed")), F.when(extends_all, F.col("best")).alias("top"), "first").alias("g"))
+
+    def step(state, g):
+        now = state["now"]
+        cost = now["free"] | (g["told"] & g["level"] & g["first"]["nanos"].eqNullSafe(now["nanos"]))
+        grown = [g[f"low_{c}"] >= now[c] for c in (*numbers, "timed")]
+        fits = now.isNull() | (g["one"] & g["first"]["same"].eqNullSafe(now["same"]) & reduce(and_, grown) & cost)
+        chosen = F.when(fits, F.coalesce(g["top"], now, g["first"])).otherwise(now)
+        return F.struct(chosen.alias("now"), (state["conflict"] | ~fits | g["top"].isNull()).alias("conflict"))
+
+    kind = rows.schema["r"].dataType
+    start = F.struct(F.lit(None).cast(kind).alias("now"), F.lit(False).alias("conflict"))
+    found = groups.groupBy("event").agg(F.sort_array(F.collect_list("g")).alias("all")).select("event", F.aggregate("all", start, step).alias("z"))
+    return found.select("event", F.col("z.now.hash").alias("revision_hash"), F.col("z.conflict").alias("conflict"))
 
 
 def resolve(fresh: DataFrame, identities: DataFrame) -> DataFrame:
