@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from . import common
 
 BLOCK, RATE = 192, 8000
+#: Of Zstandard, for media and PCM on disk.
+LEVEL = 9
 #: Format tags of WAVE files.
 TAGS = {"alaw": 6, "mulaw": 7, "adpcm": 0x11}
 #: The step sizes and index changes of IMA ADPCM.
@@ -72,14 +74,36 @@ def decode_adpcm(blocks: np.ndarray) -> np.ndarray:
     return out.T
 
 
-def resample_double(pcm: np.ndarray) -> np.ndarray:
-    """Twice the rate: samples between are (-1, 9, 9, -1) / 16 of their neighbours, the ends repeated."""
+def _between(pcm: np.ndarray) -> np.ndarray:
+    """int32: after each sample (-1, 9, 9, -1) / 16 of its neighbours, the ends repeated."""
     if not len(pcm):
-        return pcm.astype("<i2")
+        return pcm.astype(np.int32)
     x = np.pad(pcm.astype(np.int32), (1, 2), mode="edge")
+    return np.clip((9 * (x[1:-2] + x[2:-1]) - x[:-3] - x[3:] + 8) >> 4, -32768, 32767)
+
+
+def resample_double(pcm: np.ndarray) -> np.ndarray:
+    """Twice the rate: samples between are (-1, 9, 9, -1) / 16 of their neighbours, the ends repeated."""
     out = np.empty(2 * len(pcm), "<i2")
     out[0::2] = pcm
-    out[1::2] = np.clip((9 * (x[1:-2] + x[2:-1]) - x[:-3] - x[3:] + 8) >> 4, -32768, 32767)
+    out[1::2] = _between(pcm)
+    return out
+
+
+def pack_pcm(pcm: np.ndarray) -> bytes:
+    """As many bytes as any 16-bit samples have, in an order that Zstandard compresses well and without loss: every second
+    sample as it is, then what the others differ by from the interpolation of those (modulo 2 ** 16)."""
+    rest = pcm[1::2].astype(np.int32)
+    return pcm[0::2].astype("<i2").tobytes() + (rest - _between(pcm[0::2])[: len(rest)]).astype("<i2").tobytes()
+
+
+def unpack_pcm(packed: bytes) -> np.ndarray:
+    """The samples of pack_pcm(), from its bytes alone."""
+    found = np.frombuffer(packed, "<i2")
+    half = -(-len(found) // 2)
+    out = np.empty(len(found), "<i2")
+    out[0::2] = found[:half]
+    out[1::2] = (found[half:] + _between(found[:half])[: len(found) - half]).astype("<i2")
     return out
 
 
@@ -166,29 +190,50 @@ def _groups(batches, most: int = 2 << 20):
             at = to
 
 
+def with_pcm(media: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, media, pcm): of each WAVE file the samples of 16 kHz, decoded by its own codec, as pack_pcm() has
+    them. No file is left out or shortened."""
+
+    def run(batches):
+        for part in _groups(batches):
+            found = [pack_pcm(resample_double(pcm_of(*from_wav(x)[::-1]))) for x in part.column("media").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in ("doc_id", "n_bytes", "media")), pa.array(found, pa.binary())], ["doc_id", "n_bytes", "media", "pcm"])
+
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, media binary, pcm binary")
+
+
+def stored(media: DataFrame) -> DataFrame:
+    """with_pcm(media), written and read back. PCM has four times the payload's bytes, so it is compressed at LEVEL."""
+    return common.cut(with_pcm(media), "media", LEVEL)
+
+
 def features(media: DataFrame) -> DataFrame:
-    """Digests and features of stored media (doc_id, n_bytes, media), all from the bytes read back.
+    """Digests and features of stored media (doc_id, n_bytes, media, pcm), all from the bytes read back; media without pcm
+    is stored with it first.
 
     feature has count:energy:sign changes:peak of the payload read as mu-law, as A-law and as ADPCM blocks, and the
-    crc32 of the mu-law samples resampled to 16 kHz. ADPCM blocks of many documents are decoded together.
+    crc32 of the stored samples of 16 kHz; pcm_bytes and pcm_sha256 are theirs too. ADPCM blocks of many documents are
+    decoded together.
     """
 
     def run(batches):
+        digest = lambda x: hashlib.sha256(x).hexdigest()
         for part in _groups(batches):
             wavs = part.column("media").to_pylist()
             payloads = [from_wav(x)[1] for x in wavs]
             counts = np.cumsum([0, *(len(x) // BLOCK for x in payloads)])
             blocks = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, BLOCK)
             adpcm = np.concatenate([decode_adpcm(blocks[i : i + 4096]) for i in range(0, len(blocks), 4096)])
-            said = []
-            for k, x in enumerate(payloads):
-                raw = np.frombuffer(x, np.uint8)
-                mu = MULAW[raw]
-                said.append(f"mu={_sums(mu)};a={_sums(ALAW[raw])};adpcm={_sums(adpcm[counts[k] : counts[k + 1]].ravel())};pcm16k={zlib.crc32(resample_double(mu).tobytes())}")
-            digest = lambda x: hashlib.sha256(x).hexdigest()
+            said, sizes, digests = [], [], []
+            for k, (x, packed) in enumerate(zip(payloads, part.column("pcm"), strict=True)):
+                raw, pcm = np.frombuffer(x, np.uint8), unpack_pcm(packed.as_buffer()).tobytes()
+                said.append(f"mu={_sums(MULAW[raw])};a={_sums(ALAW[raw])};adpcm={_sums(adpcm[counts[k] : counts[k + 1]].ravel())};pcm16k={zlib.crc32(pcm)}")
+                sizes.append(len(pcm))
+                digests.append(digest(pcm))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("n_bytes"), pa.array([len(x) for x in payloads], pa.int64()), pa.array(map(digest, payloads)), pa.array([zlib.crc32(x[-16:]) for x in payloads], pa.int64()), pa.array([len(x) for x in wavs], pa.int64()), pa.array(map(digest, wavs)), pa.array(said)],
-                ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+                [part.column("doc_id"), part.column("n_bytes"), pa.array([len(x) for x in payloads], pa.int64()), pa.array(map(digest, payloads)), pa.array([zlib.crc32(x[-16:]) for x in payloads], pa.int64()), pa.array([len(x) for x in wavs], pa.int64()), pa.array(map(digest, wavs)), pa.array(said), pa.array(sizes, pa.int64()), pa.array(digests)],
+                ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_bytes", "pcm_sha256"],
             )
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    rows = media if "pcm" in media.columns else stored(media)
+    return rows.select("doc_id", "n_bytes", "media", "pcm").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string")

@@ -49,12 +49,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write df once in the shared folder and read it back: its lineage ends there and a lost executor costs nothing."""
+def cut(df: DataFrame, name: str = "cut", level: int = 3) -> DataFrame:
+    """Write df once in the shared folder, compressed at this level of Zstandard, and read it back: its lineage ends there
+    and a lost executor costs nothing."""
     spark = df.sparkSession
     small_batches(spark)
     path = shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

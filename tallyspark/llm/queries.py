@@ -16,7 +16,7 @@ def op1_token_ids(spark, sf_dir):
 
 
 def op2_media(spark, sf_dir):
-    return audio.features(common.cut(audio.store_texts(common.table(spark, sf_dir, "documents")), "media"))
+    return audio.features(audio.stored(audio.store_texts(common.table(spark, sf_dir, "documents"))))
 
 
 def op3_embedding_neardup(spark, sf_dir):

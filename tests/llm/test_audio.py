@@ -70,3 +70,36 @@ def test_empty(spark, no_docs):
     assert audio.features(audio.store_texts(no_docs)).count() == 0
     with pytest.raises(ValueError):
         audio.from_wav(b"RIFFxxxxWAVE")
+
+
+def test_packed_pcm_loses_nothing():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 3, 4, 5, 191, 384):
+        x = rng.integers(-32768, 32768, n).astype("<i2")
+        assert len(audio.pack_pcm(x)) == 2 * n and audio.unpack_pcm(audio.pack_pcm(x)).tolist() == x.tolist()
+    edge = np.array([-32768, 32767] * 9, "<i2")
+    assert audio.unpack_pcm(audio.pack_pcm(edge)).tolist() == edge.tolist()
+
+
+def test_query_stores_resampled_pcm_and_reads_it_back(spark, tmp_path, monkeypatch):
+    want = {}
+    for r in common.table(spark, SF, "documents").collect():
+        raw = (r["text"] or "").encode()
+        pay = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
+        want[r["doc_id"]] = audio.resample_double(audio.MULAW[np.frombuffer(pay, np.uint8)]).tobytes()
+    monkeypatch.setattr(common, "shared_folder", lambda spark: str(tmp_path))
+    got = queries.op2_media(spark, SF).collect()
+    assert {r["doc_id"]: (r["pcm_bytes"], r["pcm_sha256"]) for r in got} == {k: (len(x), hashlib.sha256(x).hexdigest()) for k, x in want.items()}
+    assert all(r["feature"].endswith(f"pcm16k={zlib.crc32(want[r['doc_id']])}") for r in got)
+    files = spark.read.parquet(f"{tmp_path}/media-*").select("doc_id", "pcm").collect()
+    assert {r["doc_id"]: audio.unpack_pcm(bytes(r["pcm"])).tobytes() for r in files} == want and len(files) == len(want)
+
+
+@pytest.mark.parametrize("codec", ["mulaw", "alaw", "adpcm"])
+def test_features_are_of_the_stored_pcm(spark, odd_docs, codec):
+    media = audio.store_texts(odd_docs, codec)
+    want = [(len(x), hashlib.sha256(x).hexdigest()) for x in (bytes(r["pcm"]) for r in audio.resampled_pcm(media).collect())]
+    assert sorted((r["pcm_bytes"], r["pcm_sha256"]) for r in audio.features(media).collect()) == sorted(want)
+    other = np.arange(-7, 8, dtype="<i2")
+    changed = audio.with_pcm(media).selectExpr("doc_id", "n_bytes", "media", f"unhex('{audio.pack_pcm(other).hex()}') as pcm")
+    assert {r["pcm_sha256"] for r in audio.features(changed).collect()} == {hashlib.sha256(other.tobytes()).hexdigest()}
