@@ -148,7 +148,7 @@ class PieceCache(dict):
     Pre-tokens hold white space at their start only, so a text may be cut before any white space that follows
     something else, and between a letter and a comma or stop; the value of a text (ids, bytes) is the concatenation of
     its pieces' values. ``compute`` gets one piece, ``compute_words`` words of letters, each of which has a blank before
-    it, and ``compute_pieces`` a list of pieces. Keys are pieces without their leading blank in ``self`` and whole
+    it. Keys are pieces without their leading blank in ``self`` and whole
     pieces in ``plain``. Each of the two is in two generations, of at most ``limit`` entries each in ``self`` and half
     of that in ``plain``; what is used again outlives the older one. Pieces of over ``LONGEST`` characters are computed
     each time, which bounds the memory: some 200 bytes an entry.
@@ -156,11 +156,10 @@ class PieceCache(dict):
 
     LONGEST = 48
 
-    def __init__(self, compute, limit: int, compute_words=None, compute_pieces=None):
+    def __init__(self, compute, limit: int, compute_words=None):
         super().__init__()
         self.compute, self.limit = compute, limit
         self.compute_words = compute_words or (lambda words: [compute(" " + w) for w in words])
-        self.compute_pieces = compute_pieces or (lambda pieces: list(map(compute, pieces)))
         self.older: dict[str, bytes] = {}
         self.plain: dict[str, bytes] = {}
         self.plain_older: dict[str, bytes] = {}
@@ -211,44 +210,28 @@ class PieceCache(dict):
                 self.clear()
             self[part] = value
 
-    def _keep_all(self, words: list[str], values: list[bytes]) -> None:
-        """_keep() of some distinct words, as many as the limit at most."""
-        if words and max(map(len, words)) > self.LONGEST:
-            short = [k for k, w in enumerate(words) if len(w) <= self.LONGEST]
-            words, values = [words[k] for k in short], [values[k] for k in short]
-        if len(self) + len(words) > self.limit:
-            self.older = dict(self)
-            self.clear()
-        self.update(zip(words, values, strict=True))
-
-    def _known(self, words: list[str], compute, wanted=None) -> list[bytes | None]:
-        """The values of distinct words; those that aren't kept are computed together, if they are wanted, else None."""
-        values, older, step = list(map(self.get, words)), self.older, min(512, self.limit)
-        missing = [k for k, v in enumerate(values) if v is None]
-        again = [k for k in missing if words[k] in older]
-        for at in range(0, len(again), step):
-            names = [words[k] for k in again[at : at + step]]
-            found = [older[w] for w in names]
-            self._keep_all(names, found)
-            for k, value in zip(again[at : at + step], found, strict=True):
-                values[k] = value
-        todo = [k for k in missing if values[k] is None and (wanted is None or wanted(words[k]))]
-        for at in range(0, len(todo), step):
-            names = [words[k] for k in todo[at : at + step]]
-            found = compute(names)
-            self._keep_all(names, found)
-            for k, value in zip(todo[at : at + step], found, strict=True):
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """The values of distinct words of letters; those that aren't kept are computed together."""
+        values = list(map(self.get, words))
+        older, todo = self.older, []
+        for k in [k for k, v in enumerate(values) if v is None]:
+            word = words[k]
+            found = older.get(word)
+            if found is None:
+                todo.append(k)
+            else:
+                values[k] = found
+                self._keep(word, found)
+        for at in range(0, len(todo), 512):
+            part = todo[at : at + 512]
+            names = [words[k] for k in part]
+            for k, word, value in zip(part, names, self.compute_words(names), strict=True):
                 values[k] = value
+                self._keep(word, value)
         return values
 
-    def _letters(self, words: list[str]) -> list[bytes]:
-        return self._known(words, self.compute_words)
-
     def _others(self, words: list[str]) -> list[bytes]:
-        """The values of words of other kinds. Those that are one piece with their blank are computed together."""
-        one = lambda w: not _SPACED.search(w) and not (len(w) > 1 and w[-1] in ",." and w[-2].isalpha())
-        values = self._known(words, lambda names: self.compute_pieces([" " + w for w in names]), one)
-        return [self[w] if v is None else v for w, v in zip(words, values, strict=True)]
+        return [self[w] for w in words]
 
     def of(self, text: str) -> bytes:
         if _IRREGULAR.search(text):
@@ -302,6 +285,54 @@ class PieceCache(dict):
         return [bytes(raw[s:e]) for s, e in zip(cuts, cuts[1:], strict=False)]
 
 
+class GroupedCache(PieceCache):
+    """A PieceCache that keeps values in groups, and computes words of other kinds than letters together as well:
+    ``compute_pieces`` gets a list of pieces."""
+
+    def __init__(self, compute, limit: int, compute_words, compute_pieces):
+        super().__init__(compute, limit, compute_words)
+        self.compute_pieces = compute_pieces
+
+    def _keep_all(self, words: list[str], values: list[bytes]) -> None:
+        """_keep() of some distinct words, as many as the limit at most."""
+        if words and max(map(len, words)) > self.LONGEST:
+            short = [k for k, w in enumerate(words) if len(w) <= self.LONGEST]
+            words, values = [words[k] for k in short], [values[k] for k in short]
+        if len(self) + len(words) > self.limit:
+            self.older = dict(self)
+            self.clear()
+        self.update(zip(words, values, strict=True))
+
+    def _known(self, words: list[str], compute, wanted=None) -> list[bytes | None]:
+        """The values of distinct words; those that aren't kept are computed together, if they are wanted, else None."""
+        values, older, step = list(map(self.get, words)), self.older, min(512, self.limit)
+        missing = [k for k, v in enumerate(values) if v is None]
+        again = [k for k in missing if words[k] in older]
+        for at in range(0, len(again), step):
+            names = [words[k] for k in again[at : at + step]]
+            found = [older[w] for w in names]
+            self._keep_all(names, found)
+            for k, value in zip(again[at : at + step], found, strict=True):
+                values[k] = value
+        todo = [k for k in missing if values[k] is None and (wanted is None or wanted(words[k]))]
+        for at in range(0, len(todo), step):
+            names = [words[k] for k in todo[at : at + step]]
+            found = compute(names)
+            self._keep_all(names, found)
+            for k, value in zip(todo[at : at + step], found, strict=True):
+                values[k] = value
+        return values
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        return self._known(words, self.compute_words)
+
+    def _others(self, words: list[str]) -> list[bytes]:
+        """The values of words of other kinds. Those that are one piece with their blank are computed together."""
+        one = lambda w: not _SPACED.search(w) and not (len(w) > 1 and w[-1] in ",." and w[-2].isalpha())
+        values = self._known(words, lambda names: self.compute_pieces([" " + w for w in names]), one)
+        return [self[w] if v is None else v for w, v in zip(words, values, strict=True)]
+
+
 # Connected components ------------------------------------------------------------------------------------------------
 
 

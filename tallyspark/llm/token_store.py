@@ -112,7 +112,7 @@ def _tokenizer(json: str):
     def pieces_of(pieces: list[str]) -> list[bytes]:
         return [common.u32(x.ids) for x in found.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    return common.PieceCache(piece_of, ENTRIES, words_of, pieces_of)
+    return common.GroupedCache(piece_of, ENTRIES, words_of, pieces_of)
 
 
 @lru_cache(maxsize=2)

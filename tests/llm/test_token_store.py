@@ -96,7 +96,7 @@ def test_words_of_other_kinds_are_computed_together_and_once():
         together.append(pieces)
         return own.compute_pieces(pieces)
 
-    cache = common.PieceCache(one, 5_000, own.compute_words, many)
+    cache = common.GroupedCache(one, 5_000, own.compute_words, many)
     words = [f"né{i}%%%" for i in range(2_000)] + ["x" * 60 + "1", "a1,", "tab\tbed", "end\x1cof", "12.", "中1"]
     texts = [" ".join(["the", *words[k::40]]) for k in range(40)] * 2
     got = [np.append(np.frombuffer(x, "<u4"), 0) for x in cache.of_many(texts, 20_000)]
@@ -104,6 +104,6 @@ def test_words_of_other_kinds_are_computed_together_and_once():
     assert len(single) < 40 and max(map(len, together)) > 100
     asked = [p for part in together for p in part if len(p) <= cache.LONGEST]
     assert len(asked) == len(set(asked)) >= 2_000
-    tiny = common.PieceCache(own.compute, 7, own.compute_words, own.compute_pieces)
+    tiny = common.GroupedCache(own.compute, 7, own.compute_words, own.compute_pieces)
     assert [np.append(np.frombuffer(x, "<u4"), 0).tolist() for x in tiny.of_many(texts[:9], 900)] == [x.tolist() for x in encode(texts[:9])]
     assert len(tiny) <= 7 and len(tiny.older) <= 7
